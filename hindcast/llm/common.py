@@ -71,3 +71,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a materialised side for broadcasting if a count shows it to be small enough; else the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
+    """Lets Python workers of this session receive long texts in batches of few megabytes, unless a bound below that is set."""
+    key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
+    if int(spark.conf.get(key).rstrip("bB") or 0) > bound:
+        spark.conf.set(key, str(bound))

@@ -9,6 +9,14 @@ e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?[sr
 """
 
 ORACLE = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, url, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+FROM l
+""",
     "op4_chat_formatting": f"""
 WITH {_CONVERSATIONS}
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
@@ -44,5 +52,24 @@ j AS (SELECT v.*, CASE WHEN o.docs >= 100 THEN o WHEN l.docs >= 100 THEN l ELSE
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbol_ratio <= p.f1 AND dup_line_ratio <= p.f2 AND repeat_ratio <= p.f3 AND word_length <= p.f4 AS kept
 FROM j
+""",
+    "op9_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+k AS (SELECT doc_id, source, md5(text) AS digest, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+             -ln((CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+             / greatest(0.1::DOUBLE, 1.0::DOUBLE - (length(text) - length(regexp_replace(text, '[#*$%&|<>=_~^0-9]', '', 'g')))::DOUBLE / greatest(length(text), 1)) AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+r AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * source_size AS most FROM s),
+o AS (SELECT *, coalesce(sum(most) OVER w, 0) AS filled, coalesce(sum(weight) OVER w, 0) AS before, sum(source_size) OVER () AS every, sum(weight) OVER () AS weights
+      FROM r WINDOW w AS (ORDER BY most::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (every::DOUBLE * 1.5::DOUBLE - filled::DOUBLE) / (weights - before)::DOUBLE AS level FROM o),
+m AS (SELECT *, (SELECT min_by(level, most::DOUBLE / weight) FROM l WHERE most > level * weight) AS flat FROM l),
+t AS (SELECT source, source_size, CASE WHEN flat IS NULL THEN most::DOUBLE ELSE least(most::DOUBLE, flat * weight) END AS target FROM m),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, CAST(floor(target / source_size) AS BIGINT)) ELSE 0 END AS epochs FROM t),
+p AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS rest,
+             sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+             floor(65536 * (1.0::DOUBLE - exp(-key))) AS bucket FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
+b AS (SELECT *, max(upto) OVER (PARTITION BY source, bucket) AS full_to FROM p)
+SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN full_to <= rest OR upto - size::DOUBLE / 2 <= rest THEN CASE WHEN source_size <= rest THEN 0 ELSE 1 END ELSE 0 END) AS taken FROM b
 """,
 }

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat_formatting, quality_rules
-from hindcast.llm.common import table
+from hindcast.llm import chat_formatting, mixing, quality_rules, warc
+from hindcast.llm.common import scratch, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
+    return warc.read_warc(spark, manifest, payloads=False).drop("payload")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,4 +26,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_formatting, op8_quality_rules)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op4_chat_formatting, op8_quality_rules, op9_mixing)}
