@@ -68,9 +68,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialised side for broadcasting if a count shows it to be small enough; else the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """Marks a materialised side for broadcasting if a count shows it to be small enough; else the join shuffles.
+
+    weight: what a row counts for, such as the length of an array in it.
+    """
+    small = df.limit(rows + 1).count() <= rows
+    if small and weight is not None:
+        small = (df.agg(F.sum(weight)).first()[0] or 0) <= 4 * rows
+    return F.broadcast(df) if small else df
 
 
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:

@@ -71,5 +71,27 @@ p AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
              floor(65536 * (1.0::DOUBLE - exp(-key))) AS bucket FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source),
 b AS (SELECT *, max(upto) OVER (PARTITION BY source, bucket) AS full_to FROM p)
 SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN full_to <= rest OR upto - size::DOUBLE / 2 <= rest THEN CASE WHEN source_size <= rest THEN 0 ELSE 1 END ELSE 0 END) AS taken FROM b
+""",
+    "op2_decontamination": r"""
+WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS at FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, at, at + n - 1), ' ') AS x FROM p),
+l AS (SELECT DISTINCT n FROM g),
+q AS (SELECT r, w, n, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS at FROM d, l WHERE len(w) >= n),
+h AS (SELECT r, at, q.n, item FROM (SELECT r, at, n, array_to_string(list_slice(w, at, at + n - 1), ' ') AS x FROM q) q JOIN g ON q.n = g.n AND q.x = g.x),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS k FROM h) GROUP BY r),
+m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
+""",
+    "op5_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+w AS (SELECT r, doc_id, i, array_to_string(l[i : i + 2], chr(10)) AS x FROM (SELECT r, doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3)),
+f AS (SELECT *, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY x) AS first FROM w WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+c AS (SELECT DISTINCT r, i + k AS i FROM f, (SELECT unnest([0, 1, 2]) AS k) WHERE struct_pack(d := doc_id, i := f.i) > first),
+s AS (SELECT r, doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM d)
+SELECT doc_id, count(*) AS n_lines, count(c.r) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY s.i) FILTER (c.r IS NULL), '') AS text
+FROM s LEFT JOIN c ON s.r = c.r AND s.i = c.i GROUP BY s.r, doc_id
 """,
 }
