@@ -75,12 +75,12 @@ SELECT doc_id, size, source_size, target, size * (epochs + CASE WHEN full_to <=
     "op2_decontamination": r"""
 WITH i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-p AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS at FROM i WHERE len(w) > 0),
-g AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, at, at + n - 1), ' ') AS x FROM p),
+p AS (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS pos FROM i WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS x FROM p),
 l AS (SELECT DISTINCT n FROM g),
-q AS (SELECT r, w, n, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS at FROM d, l WHERE len(w) >= n),
-h AS (SELECT r, at, q.n, item FROM (SELECT r, at, n, array_to_string(list_slice(w, at, at + n - 1), ' ') AS x FROM q) q JOIN g ON q.n = g.n AND q.x = g.x),
-c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(at, at + n)) AS k FROM h) GROUP BY r),
+q AS (SELECT r, w, n, unnest(range(1, CAST(len(w) AS BIGINT) - n + 2)) AS pos FROM d, l WHERE len(w) >= n),
+h AS (SELECT r, pos, q.n, item FROM (SELECT r, pos, n, array_to_string(list_slice(w, pos, pos + n - 1), ' ') AS x FROM q) q JOIN g ON q.n = g.n AND q.x = g.x),
+c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(pos, pos + n)) AS k FROM h) GROUP BY r),
 m AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)
