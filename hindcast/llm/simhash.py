@@ -64,12 +64,13 @@ def fingerprint(text: bytes) -> int:
 def fingerprints(docs: DataFrame, keep: dict[str, tuple[Column, pa.DataType]]) -> DataFrame:
     """The columns of keep and fp (64 bits as a long) for each row of docs."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([*((k, t) for k, (_, t) in keep.items()), ("fp", pa.int64())])
+    types = {k: t for k, (_, t) in keep.items()}
+    schema = pa.schema([*types.items(), ("fp", pa.int64())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(t) for k, (_, t) in keep.items()), pa.array(fp)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(t) for k, t in types.items()), pa.array(fp)], schema=schema)
 
     rows = docs.select(*[c.alias(k) for k, (c, _) in keep.items()], text_of("text").cast("binary").alias("text"))
     return rows.mapInArrow(make, from_arrow_schema(schema))
