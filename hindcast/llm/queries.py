@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat_formatting, decontamination, html_extraction, line_dedup, mixing, quality_rules, secret_scan, simhash, warc
+from hindcast.llm import chat_formatting, decontamination, html_extraction, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash, warc
 from hindcast.llm.common import scratch, table
 
 
@@ -26,6 +26,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -50,4 +54,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_chat_formatting, op5_line_dedup, op6_simhash, op8_quality_rules, op9_mixing, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_chat_formatting, op5_line_dedup, op6_simhash, op7_lm_scoring, op8_quality_rules, op9_mixing, op10_html_extraction)}
