@@ -48,6 +48,20 @@ def packed(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """df with a row for each element of array, named name; none for an empty array.
+
+    explode() alone would add a filter on the array's size below itself, which the optimizer pushes through the
+    projections that build the array, so that they are evaluated again, and again for each element inside lambdas.
+    """
+    return df.select("*", F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def barrier() -> Column:
+    """A column through which no filter that uses it is pushed: 0, though the optimizer doesn't know."""
+    return F.shiftrightunsigned(F.monotonically_increasing_id(), 63)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (spark.checkpoint.dir)."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import ascii_lower, bounded, checkpointed, packed, row_key, split_words, text_of
+from hindcast.llm.common import ascii_lower, bounded, checkpointed, exploded, packed, row_key, split_words, text_of
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 10, 6
@@ -48,7 +48,7 @@ def grams(rows: DataFrame, lengths: list[int]) -> DataFrame:
     """The other columns of rows and n, at (from 0), a, b: the 128-bit hashes of all spans of the lengths."""
     other = [c for c in rows.columns if c not in ("h", "n_words")]
     parts = [F.expr(f"transform({_spans(str(n))}, i -> struct({n} as n, i - 1 as at, xxhash64(slice(h, i, {n})) as a, xxhash64('b', slice(h, i, {n})) as b))") for n in lengths]
-    return rows.select(*other, F.explode(F.concat(*parts)).alias("x")).select(*other, "x.*")
+    return exploded(rows.select(*other, F.concat(*parts).alias("all")), F.col("all"), "x").select(*other, "x.*")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +57,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = checkpointed(items)
     short = sorted(r.n_words for r in items.where(F.col("n_words") < WINDOW).select("n_words").distinct().collect())
     long_, brief = items.where(F.col("n_words") >= WINDOW), items.where(F.col("n_words") < WINDOW)
-    marks = fingerprints(long_, []).select(F.explode("fp").alias("f"))
+    marks = fingerprints(long_, []).select(F.explode_outer("fp").alias("f")).where("f is not null")
     if short:  # a short item's only fingerprint is that of its own length
         own = F.coalesce(*[F.when(F.col("n_words") == n, F.expr(f"xxhash64({n}, h)")) for n in short])
         marks = marks.union(brief.select(own.alias("f")))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import bounded, checkpointed, packed, row_key, text_of
+from hindcast.llm.common import barrier, bounded, checkpointed, exploded, packed, row_key, text_of
 
 WINDOW = 3
 
@@ -26,7 +26,7 @@ def windows(docs: DataFrame) -> DataFrame:
     rows = docs.select(row_key().alias("key"), lines_of().alias("l"))
     found = F.expr(f"""filter(transform(if(size(l) < {WINDOW}, cast(array() as array<int>), sequence(0, size(l) - {WINDOW})),
         i -> struct(i as at, concat_ws('\n', slice(l, i + 1, {WINDOW})) as x)), y -> y.x rlike '[^\\\\x20\\\\x09-\\\\x0D]')""")
-    return rows.select("key", F.explode(found).alias("w")).select("key.id", "key.digest", "w.at", F.unhex(F.md5(F.col("w.x").cast("binary"))).alias("hash"))
+    return exploded(rows.select("key", found.alias("all")), F.col("all"), "w").select("key.id", "key.digest", "w.at", F.unhex(F.md5(F.col("w.x").cast("binary"))).alias("hash"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -47,10 +47,11 @@ def deduplicated(docs: DataFrame, keep: list[Column]) -> DataFrame:
     gone = removals(docs)
     rows = docs.select(*keep, row_key().alias("key"), lines_of().alias("l"))
     joined = rows.join(bounded(gone, weight=F.size("gone")), F.col("key.id").eqNullSafe(F.col("r_id")) & (F.col("key.digest") == F.col("r_digest")), "left")
+    joined = joined.withColumn("barrier", barrier())
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("l") - 1), F.col("gone")), lambda i: F.get("l", i))
     made = [c for c in rows.columns if c not in ("key", "l")]
     return joined.select(
-        *made, F.array_join(F.when(F.col("gone").isNull(), F.col("l")).otherwise(stay), "\n").alias("clean"),
+        *made, F.array_join(F.when(F.col("gone").isNull(), F.col("l")).otherwise(stay), "\n").alias("clean"), "barrier",
         F.size("l").cast("long").alias("n_lines"), F.coalesce(F.size("gone").cast("long"), F.lit(0)).alias("n_removed"),
     )
 
@@ -66,7 +67,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     A document that loses every line with a word is a repeat as a whole and goes.
     """
     made = deduplicated(docs, [packed(docs).alias("__doc")])
-    made = made.where((F.col("n_removed") == 0) | F.col("clean").rlike(r"[^\x20\x09-\x0D]"))
+    made = made.where((F.col("n_removed") == F.col("barrier")) | F.col("clean").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("clean")).otherwise(F.col("__doc.text")), "n_chars": F.when(changed, F.length("clean").cast("long")).otherwise(F.col("__doc.n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return made.select(*[(new[c] if c in new else F.col(f"__doc.`{c}`")).alias(c) for c in docs.columns])

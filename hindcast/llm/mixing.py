@@ -106,10 +106,16 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 
 def take_mixture(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which words are taken, with all their columns and then __size, __source_size, __target, __taken.
+    """The rows of docs of which words are taken, with all their columns and then size, source_size, target and taken
+    (with underscores after the name where docs has such a column).
 
     Documents are read twice, so that no text is shuffled but that of the bucket in which a budget ends.
     """
     budget = bounded(checkpointed(budgets(sums(mix(docs, [])))))
     taken = apply_budgets(mix(docs, [packed(docs).alias("__doc")]), budget).where("taken > 0")
-    return taken.select("__doc.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("taken").alias("__taken"))
+    there, new = {c.lower() for c in docs.columns}, {}
+    for name in ("size", "source_size", "target", "taken"):
+        new[name] = name
+        while new[name].lower() in there:
+            new[name] += "_"
+    return taken.select("__doc.*", *[F.col(k).alias(v) for k, v in new.items()])

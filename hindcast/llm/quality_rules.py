@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hindcast.llm.common import SPACE, bounded, checkpointed, packed, split_words, text_of
+from hindcast.llm.common import SPACE, barrier, bounded, checkpointed, packed, split_words, text_of
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -53,7 +53,7 @@ def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
         (i > 0 and shiftright(get(windows, i - 1), bits) = shiftright(x, bits)) or (i + 1 < n_words - 2 and shiftright(get(windows, i + 1), bits) = shiftright(x, bits))),
         x -> x & (shiftleft(1L, bits) - 1)))""")).drop("windows", "bits")
     repeat = F.expr("if(size(at) = 0, 0L, 3L + aggregate(sequence(1, size(at) - 1), 0L, (a, k) -> a + least(3L, at[k] - at[k - 1])))")
-    return rows.select(*kept, "n_words", "n_lines", "n_dup_lines", repeat.alias("n_repeat_words")).withColumns(
+    return rows.select(*kept, "n_words", "n_lines", "n_dup_lines", repeat.alias("n_repeat_words"), barrier().alias("barrier")).withColumns(
         {
             "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
             "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
@@ -66,7 +66,7 @@ def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
 def sketches(measured: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n: the mergeable sketch of each measure of each group."""
     parts = F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / F.lit(width)).alias("bucket")) for m, (width, _) in MEASURES.items()])
-    return measured.select("lang", "source", F.explode(parts).alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    return measured.select("lang", "source", F.explode_outer(parts).alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
 def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -98,7 +98,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
 def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """measured with base_failed and kept."""
     base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
-    ok = ~F.col("base_failed")
+    ok = ~F.col("base_failed") & (F.col("barrier") == 0)
     for m in MEASURES:
         ok = ok & (F.col(m) <= F.col(f"f_{m}"))
     joined = measured.join(bounded(fences), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")))
