@@ -1,3 +1,5 @@
 """DuckDB SQL by query name."""
 
-ORACLE: dict = {}
+from hindcast.plans.registry import MODULES
+
+ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}

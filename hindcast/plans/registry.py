@@ -1,3 +1,6 @@
 """Queries by name."""
 
-QUERIES: dict = {}
+from hindcast.plans import decision_plans, normalization, study
+
+MODULES = (study, normalization, decision_plans)
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
