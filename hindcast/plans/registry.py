@@ -1,6 +1,6 @@
 """Queries by name."""
 
-from hindcast.plans import decision_plans, normalization, study
+from hindcast.plans import decision_plans, normalization, regime_plans, stat_plans, study
 
-MODULES = (study, normalization, decision_plans)
+MODULES = (study, normalization, decision_plans, regime_plans, stat_plans)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
