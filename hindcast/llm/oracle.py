@@ -36,7 +36,7 @@ m AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(reg
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
 v AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
              n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS word_length FROM m),
-x AS (SELECT lang, source, unnest([{'m': 1, 'w': 0.005::DOUBLE, 'least': 0.02::DOUBLE, 'v': symbol_ratio}, {'m': 2, 'w': 0.005::DOUBLE, 'least': 0.06::DOUBLE, 'v': dup_line_ratio},
+x AS (SELECT lang, source, unnest([{'m': 1, 'w': 0.005::DOUBLE, 'least': 0.01::DOUBLE, 'v': symbol_ratio}, {'m': 2, 'w': 0.005::DOUBLE, 'least': 0.1::DOUBLE, 'v': dup_line_ratio},
                                    {'m': 3, 'w': 0.005::DOUBLE, 'least': 0.06::DOUBLE, 'v': repeat_ratio}, {'m': 4, 'w': 0.02::DOUBLE, 'least': 0.3::DOUBLE, 'v': word_length}]) AS x FROM v),
 s AS (SELECT CASE WHEN grouping(source) = 0 THEN 0 WHEN grouping(lang) = 0 THEN 1 ELSE 2 END AS level, lang, source, m, w, least, b, count(*) AS n
       FROM (SELECT lang, source, x.m AS m, x.w AS w, x.least AS least, floor(x.v / x.w) AS b FROM x)

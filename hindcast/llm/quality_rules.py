@@ -26,8 +26,8 @@ FENCE = 5.0
 
 #: Measure: (bucket width, least distance from the lower quartile to the median that a fence reckons with).
 MEASURES = {
-    "symbol_ratio": (0.005, 0.02),
-    "dup_line_ratio": (0.005, 0.06),
+    "symbol_ratio": (0.005, 0.01),
+    "dup_line_ratio": (0.005, 0.1),
     "repeat_ratio": (0.005, 0.06),
     "word_length": (0.02, 0.3),
 }
