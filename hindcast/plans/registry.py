@@ -1,6 +1,6 @@
 """Queries by name."""
 
-from hindcast.plans import decision_plans, normalization, regime_plans, stat_plans, stream_plans, study
+from hindcast.plans import decision_plans, normalization, reasoning_plans, regime_plans, stat_plans, stream_plans, study
 
-MODULES = (study, normalization, decision_plans, regime_plans, stat_plans, stream_plans)
+MODULES = (study, normalization, decision_plans, regime_plans, stat_plans, reasoning_plans, stream_plans)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
