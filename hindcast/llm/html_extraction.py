@@ -34,6 +34,8 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 DROP_TAGS = frozenset("head nav header footer aside form button select option datalist noscript template iframe object svg math canvas audio video dialog menu script style textarea title".split())
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 DROP_CLASSES = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus reply replies footer masthead related recommended share sharing social newsletter subscribe subscription signup popup modal overlay widget widgets pagination pager skip".split())
+#: Names that begin so tell what a part has or lacks, not what it is (has-sidebar, no-comments).
+ABOUT = frozenset("no not has have with without is hide show".split())
 OWN_HEADERS = frozenset("article entry post story content page-title".split())
 
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<>]*\Z""", re.S)
@@ -52,6 +54,8 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
         return False
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         parts = re.split(r"[-_]+", name)
+        if parts[0] in ABOUT or parts[-1] == "free":
+            continue
         if not DROP_CLASSES.isdisjoint(parts) or ("header" in parts and OWN_HEADERS.isdisjoint(parts)):
             return True
     return False

@@ -356,6 +356,13 @@ def test_extraction(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_names_that_only_speak_of_other_parts():
+    for name in ("has-sidebar", "no-comments", "ad-free", "entry-header"):
+        assert html_extraction.main_text(f"<body><div class='{name}'><p>Some words of the article that are kept</p></div>", None).startswith("Some"), name
+    for name in ("sidebar", "post-comments", "site-header", "cookie_notice", "ad"):
+        assert html_extraction.main_text(f"<body><div><p>Some words of the article that are kept</p><div class='{name}'><p>Other words that aren't a part of it</p></div></div>", None) == "Some words of the article that are kept", name
+
+
 def test_host_consensus_overrules_a_page(spark):
     usual = "<body><div class='main n1'><p>The article of this page, which is rather long as articles are</p></div><div class='extra'><p>Short words of another kind, here</p></div></body>"
     odd = "<body><div class='main n7'><p>The article of this page is short now</p></div><div class='extra'><p>" + "Words that stand beside it and are many more than those of the article itself. " * 9 + "</p></div></body>"
