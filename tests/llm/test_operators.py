@@ -369,3 +369,37 @@ def test_host_consensus_overrules_a_page(spark):
     made = [(i, "http://host/x", usual) for i in range(4)] + [(9, "http://host/y", odd)]
     got = {x.page_id: x.text for x in html_extraction.extract(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
     assert got[9] == "The article of this page is short now"
+
+
+# the language model learns from the whole corpus
+
+
+def test_every_learning_window_reaches_the_model(spark, monkeypatch):
+    """Words that only come after the first SAMPLE_CHARS characters, or only in documents out of the sample, are learned."""
+    monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 5)
+    made = [(i, "the cat sat " * 10) for i in range(1, 40)] + [(i, "the cat sat " * 600 + "zebra " * 300) for i in range(40, 60)]
+    ranks = lm_scoring.load_ranks(lm_scoring.TOKENIZER)
+    subwords = lm_scoring.Subwords(ranks)
+    stored = H.docs(spark, made).select(F.col("text").cast("binary").alias("text"), lm_scoring.held_out().alias("held_out"), F.lit(0).alias("class"), "doc_id")
+    seen = []
+    merged = attention.merged
+    monkeypatch.setattr(attention, "merged", lambda model, ids, weight, values: seen.append((ids, values)) or merged(model, ids, weight, values))
+    start, model = lm_scoring.begun(stored, subwords, 1), lm_scoring.fit(stored, ranks, 1)
+    learned = [t.encode() for i, t in made if zlib.crc32(str(i).encode()) % 10]
+    tokens, lengths = lm_scoring.token_ids(learned, subwords)
+    (ids, values), total = seen[0], np.bincount(tokens, minlength=subwords.size)
+    sums = np.zeros(subwords.size)
+    sums[ids[ids >= 0]] = values[ids >= 0, attention.WIDTH :].sum(1)
+    assert np.allclose(sums, total, rtol=1e-3) and len(lengths) == len(learned)
+    zebra = subwords.encode([b"zebra"])[0]
+    assert (model.unigrams[zebra].max(1) > 5 * start.unigrams[zebra].max(1)).all()
+
+
+def test_every_language_has_its_own_counts_and_the_share_is_fitted(spark):
+    stored = spark.createDataFrame([(f"w{i % 7} all".encode(), False, 1, i % 7, f"l{i % 7}") for i in range(21)], "text binary, held_out boolean, block long, class int, lang string")
+    assert sorted(lm_scoring.languages(stored)) == [f"l{k}" for k in range(7)]
+    got = {bytes(x.word): [x[n] for n in lm_scoring.count_names(8)] for x in lm_scoring.with_sums(lm_scoring.count_words(stored, 8), 8).collect()}
+    assert got[b"all"] == [3] * 7 + [0] and all(got[b"w%d" % k] == [3 * (i == k) for i in range(8)] for k in range(7))
+    n = len(lm_scoring.SHARES)
+    rows = [(False, [-5.0] * 3 + [-4.0] + [-6.0] * (n - 4)), (True, [0.0] + [-9.0] * (n - 1))]
+    assert lm_scoring.fitted_share(spark.createDataFrame(rows, "held_out boolean, without array<double>")) == 3
