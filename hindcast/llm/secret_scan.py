@@ -39,6 +39,8 @@ LEET = str.maketrans("@4310$57", "aaeiosst")
 DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
 DATE_LOG10, YEAR_LOG10 = math.log10(366 * 120), math.log10(120)
 BRUTE_LOG10, SEGMENT_LOG10 = 1.0, math.log10(2)
+#: Kinds of characters and how many there are of each; all others count as OTHERS.
+ALPHABETS, OTHERS = ((re.compile("[a-z]"), 26), (re.compile("[A-Z]"), 26), (re.compile("[0-9]"), 10), (re.compile(r"[!-/:-@\[-`{-~]"), 32)), 100
 
 _RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 _LONGEST = max(map(len, WORDS))
@@ -88,25 +90,28 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(found)
 
 
-def guess_spans(text: str, base: list[tuple]) -> list[tuple]:
-    """Values after credential words that cost enough and lie in no span of base."""
+def alphabet(value: str) -> int:
+    """How many characters there are of the kinds that value has."""
+    found = [(sum(map(len, kind.findall(value))), size) for kind, size in ALPHABETS]
+    return sum(size for n, size in found if n) + (OTHERS if sum(n for n, _ in found) < len(value) else 0)
+
+
+def is_secret(value: str) -> bool:
+    cost = guess_cost(value)
+    return cost >= GUESSES_LOG10 or cost * math.log10(max(2, alphabet(value))) >= GUESSES_LOG10 * math.log10(26)
+
+
+def guess_spans(text: str) -> list[tuple]:
+    """Values after credential words that cost enough, whether or not a pattern has found them too."""
     if "=" not in text and ":" not in text:
         return []
-    out, held, i = [], sorted((b[0], b[3]) for b in base), 0
-    reach = 0
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(1)
-        while i < len(held) and held[i][0] <= start:
-            reach, i = max(reach, held[i][1]), i + 1
-        if end > reach and guess_cost(m[1]) >= GUESSES_LOG10:
-            out.append((start, 3, "guess", end))
-    return out
+    return [(m.start(1), 3, "guess", m.end(1)) for m in CONTEXT.finditer(text) if is_secret(m[1])]
 
 
 def scan_text(text: str) -> tuple:
     """n_assign, n_access, n_hex, n_guess, base and all spans as strings."""
     base = base_spans(text)
-    every = sorted(base + guess_spans(text, base))
+    every = sorted(base + guess_spans(text))
     say = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
     return (*(sum(x[1] == k for x in every) for k in range(4)), say(base), say(every))
 

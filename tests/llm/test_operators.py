@@ -371,6 +371,20 @@ def test_host_consensus_overrules_a_page(spark):
     assert got[9] == "The article of this page is short now"
 
 
+# every value in a credential context is judged
+
+
+@pytest.mark.parametrize("text, value", [("passphrase: kV9$xT2!", "kV9$xT2!"), ("password: T7#k!9Qz", "T7#k!9Qz"), ("pwd=q7#Xv!2Lz", "q7#Xv!2Lz"), ("token=xK9mP2vL5nQ8w", "xK9mP2vL5nQ8w")])
+def test_short_and_covered_values_are_judged(text, value):
+    a = text.index(value)
+    assert f"guess:{a}:{a + len(value)}" in secret_scan.scan_text(text)[5].split(",")
+
+
+@pytest.mark.parametrize("text", ["password=changeme2020", "token: remember", "secret=qwertyuiop", "passphrase: Password1!"])
+def test_placeholders_are_judged_cheap(text):
+    assert secret_scan.scan_text(text)[3] == 0
+
+
 # the language model learns from the whole corpus
 
 
