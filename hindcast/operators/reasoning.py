@@ -184,9 +184,14 @@ def cluster_stability(a: np.ndarray, b: np.ndarray) -> float:
     """The share of rows that two clusterings agree on under a greedy matching of their clusters."""
     t = np.zeros((a.max() + 1, b.max() + 1), int)
     np.add.at(t, (a, b), 1)
-    agreed = 0
+    return agreement(t)
+
+
+def agreement(counts: np.ndarray) -> float:
+    """cluster_stability() from the rows counted by both clusterings."""
+    t, agreed, n = counts.copy(), 0, counts.sum()
     while t.max() > 0:
         i, j = np.unravel_index(t.argmax(), t.shape)
         agreed += t[i, j]
         t[i, :], t[:, j] = 0, 0
-    return agreed / len(a)
+    return agreed / n

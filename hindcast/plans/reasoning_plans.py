@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from hindcast.functions import exprs as X
@@ -12,7 +13,7 @@ from hindcast.plans.study import rounded
 from hindcast.sources.adapters import table
 
 NAMES = [x for xs in R.CHANNELS.values() for x in xs]
-#: At most so many decisions reach the driver for a model of fixed size.
+#: At most so many decisions reach the driver to fit a model of fixed size.
 BOUND = 2000
 
 
@@ -66,16 +67,36 @@ def drc_records(spark, sf_dir):
 
 
 def latent_eval(spark, sf_dir):
-    """Losses of the latent model and of a constant on actors held out, and the stability of its clusters."""
-    rows = features(spark, sf_dir).withColumn("h", F.md5(F.col("decision_id"))).orderBy("h").limit(BOUND).select("actor", "label", *NAMES).collect()
+    """Losses of the latent model and of a constant on actors held out, and the stability of its clusters, over all decisions.
+
+    The model, the constant and the clusters' centers are fitted to BOUND decisions; what they are worth is summed by Spark.
+    """
+    return latent_losses(spark, features(spark, sf_dir))
+
+
+def latent_losses(spark, all_rows):
+    rows = all_rows.withColumn("h", F.md5(F.col("decision_id"))).orderBy("h").limit(BOUND).select("actor", "label", *NAMES).collect()
     x, y, a = np.array([[r[n] for n in NAMES] for r in rows]), np.array([r["label"] > 0 for r in rows], float), np.array([r["actor"] for r in rows])
     held = a % 4 == 0
-    model = R.LatentModel().fit(x[~held], y[~held])
-    p = np.clip(model.predict(x[held]), 1e-9, 1 - 1e-9)
-    loss = lambda q: float(-(y[held] * np.log(q) + (1 - y[held]) * np.log(1 - q)).mean())
+    model, mean = R.LatentModel().fit(x[~held], y[~held]), float(y[~held].mean())
     codes = model.codes(x)
-    stable = R.cluster_stability(R.kmeans(codes, 3, seed=0)[1], R.kmeans(codes, 3, seed=1)[1])
-    return spark.createDataFrame([(int(held.sum()), loss(p), loss(np.full(held.sum(), y[~held].mean())), float(stable))], "held_out int, loss double, constant_loss double, stability double")
+    centers = [R.kmeans(codes, 3, seed=i)[0] for i in (0, 1)]
+
+    def evaluate(batches):
+        for batch in batches:
+            x = batch[NAMES].to_numpy(dtype=float)
+            y, held, codes = batch["label"].to_numpy() > 0, batch["actor"].to_numpy() % 4 == 0, model.codes(x)
+            p = np.clip(model.predict(x), 1e-9, 1 - 1e-9)
+            first, second = (((codes[:, None] - c) ** 2).sum(2).argmin(1) for c in centers)
+            yield pd.DataFrame({"held": held, "loss": -np.log(np.where(y, p, 1 - p)), "up": y, "first": first, "second": second})
+
+    made = all_rows.select("actor", "label", *NAMES).mapInPandas(evaluate, "held boolean, loss double, up boolean, first int, second int")
+    cells = made.groupBy("first", "second").agg(F.count("*").alias("n"), F.count_if("held").alias("held"), F.count_if(F.col("held") & F.col("up")).alias("up"), F.sum(F.when(F.col("held"), F.col("loss"))).alias("loss")).collect()
+    table, n, up = np.zeros((3, 3), int), sum(r.held for r in cells), sum(r.up for r in cells)
+    for r in cells:
+        table[r["first"], r["second"]] = r.n
+    constant = -(up * np.log(mean) + (n - up) * np.log(1 - mean)) / n
+    return spark.createDataFrame([(int(n), float(sum(r.loss or 0.0 for r in cells) / n), float(constant), float(R.agreement(table)))], "held_out int, loss double, constant_loss double, stability double")
 
 
 ORACLE: dict = {}

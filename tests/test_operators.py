@@ -210,3 +210,22 @@ def test_multinomial_learns():
     x = r.normal(size=(120, 2)) + np.array([[0, 0], [4, 0], [0, 4]])[y]
     p = S.probabilities(S.multinomial(x, y, 3), x)
     assert (p.argmax(1) == y).mean() > 0.9 and np.allclose(p.sum(1), 1)
+
+
+def test_latent_model_is_judged_on_all_decisions(spark, monkeypatch):
+    from hindcast.plans import reasoning_plans as P
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, len(P.NAMES)))
+    made = [(str(i), i % 10, 1 if v[0] + v[2] > 0 else -1, *map(float, v)) for i, v in enumerate(x)]
+    rows = spark.createDataFrame(made, ["decision_id", "actor", "label", *P.NAMES])
+    monkeypatch.setattr(P, "BOUND", 100)
+    fitted = []
+    fit = P.R.LatentModel.fit
+    monkeypatch.setattr(P.R.LatentModel, "fit", lambda self, x, y: fitted.append((fit(self, x, y), y)) or self)
+    got = P.latent_losses(spark, rows).first()
+    (model, y), held = fitted[0], np.arange(300) % 10 % 4 == 0
+    up = np.array([m[2] > 0 for m in made])[held]
+    p = np.where(up, model.predict(x[held]), 1 - model.predict(x[held]))
+    assert got.held_out == held.sum() and abs(got.loss + np.log(p).mean()) < 1e-9
+    assert abs(got.constant_loss + np.log(np.where(up, y.mean(), 1 - y.mean())).mean()) < 1e-9 and 1 / 3 <= got.stability <= 1
