@@ -12,7 +12,10 @@ from hindcast.sources.adapters import BAR, table
 from hindcast.streaming import bars as S
 
 def stream_bars(spark, sf_dir):
-    return rounded(S.run_to_table(S.tumbling_bars(S.stream(spark, f"{sf_dir}/events*.parquet"), int(BAR)), ["event_type", "bin_start"], "bars"), 6)
+    """Bars of the stored table, whatever the order of its files: the lateness covers the span of its times."""
+    path = f"{sf_dir}/events*.parquet"
+    span = spark.read.parquet(path).select(X.epoch("ts").alias("t")).agg(F.max("t") - F.min("t")).first()[0] or 0.0
+    return rounded(S.run_to_table(S.tumbling_bars(S.stream(spark, path), int(BAR), f"{int(span + 2 * BAR) + 1} seconds"), ["event_type", "bin_start"], "bars"), 6)
 
 
 def stream_dedup(spark, sf_dir):

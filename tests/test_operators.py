@@ -229,3 +229,12 @@ def test_latent_model_is_judged_on_all_decisions(spark, monkeypatch):
     p = np.where(up, model.predict(x[held]), 1 - model.predict(x[held]))
     assert got.held_out == held.sum() and abs(got.loss + np.log(p).mean()) < 1e-9
     assert abs(got.constant_loss + np.log(np.where(up, y.mean(), 1 - y.mean())).mean()) < 1e-9 and 1 / 3 <= got.stability <= 1
+
+
+def test_stream_bars_take_files_out_of_order(spark, tmp_path):
+    from hindcast.plans import stream_plans
+
+    for day in (20, 1, 10, 3):
+        part = spark.sql(f"select cast(id as bigint) as event_id, 'a' as event_type, timestamp'2024-01-{day:02d} 10:00:00' as ts, 1.0D as value from range(5)")
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    assert sum(r.n for r in stream_plans.stream_bars(spark, str(tmp_path)).collect()) == 20
