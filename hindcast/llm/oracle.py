@@ -36,21 +36,23 @@ m AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, length(reg
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep USING (r)),
 v AS (SELECT *, n_symbols / greatest(word_chars, 1) AS symbol_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
              n_repeat_words / greatest(n_words, 1) AS repeat_ratio, word_chars / greatest(n_words, 1) AS word_length FROM m),
-x AS (SELECT lang, source, unnest([{'m': 1, 'w': 0.005::DOUBLE, 'least': 0.01::DOUBLE, 'v': symbol_ratio}, {'m': 2, 'w': 0.005::DOUBLE, 'least': 0.1::DOUBLE, 'v': dup_line_ratio},
-                                   {'m': 3, 'w': 0.005::DOUBLE, 'least': 0.06::DOUBLE, 'v': repeat_ratio}, {'m': 4, 'w': 0.02::DOUBLE, 'least': 0.3::DOUBLE, 'v': word_length}]) AS x FROM v),
-s AS (SELECT CASE WHEN grouping(source) = 0 THEN 0 WHEN grouping(lang) = 0 THEN 1 ELSE 2 END AS level, lang, source, m, w, least, b, count(*) AS n
-      FROM (SELECT lang, source, x.m AS m, x.w AS w, x.least AS least, floor(x.v / x.w) AS b FROM x)
-      GROUP BY GROUPING SETS ((lang, source, m, w, least, b), (lang, m, w, least, b), (m, w, least, b))),
-c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY b) AS below, sum(n) OVER (PARTITION BY level, lang, source, m) AS total FROM s),
-q AS (SELECT level, lang, source, m, w, least, max(total) AS docs, min(b) FILTER (below >= ceil(total * 0.5::DOUBLE)) AS mid, min(b) FILTER (below >= ceil(total * 0.25::DOUBLE)) AS low
-      FROM c GROUP BY ALL),
-f AS (SELECT level, lang, source, m, docs, mid * w + 5.0::DOUBLE * greatest((mid - low) * w, least) AS fence FROM q),
+x AS (SELECT lang, source, unnest([{'m': 1, 'share': 0.2::DOUBLE, 'v': symbol_ratio}, {'m': 2, 'share': 0.6::DOUBLE, 'v': dup_line_ratio},
+                                   {'m': 3, 'share': 0.6::DOUBLE, 'v': repeat_ratio}, {'m': 4, 'share': 0.35::DOUBLE, 'v': word_length}]) AS x FROM v
+      WHERE NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)),
+s AS (SELECT CASE WHEN grouping(source) = 0 THEN 0 WHEN grouping(lang) = 0 THEN 1 ELSE 2 END AS level, lang, source, m, share, b, count(*) AS n
+      FROM (SELECT lang, source, x.m AS m, x.share AS share, CASE WHEN x.v > 0 THEN ceil(ln(x.v) / ln(1.01::DOUBLE)) ELSE -100000 END AS b FROM x)
+      GROUP BY GROUPING SETS ((lang, source, m, share, b), (lang, m, share, b), (m, share, b))),
+c AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, m ORDER BY b) AS below, sum(n) OVER (PARTITION BY level, lang, source, m) AS total,
+             CASE WHEN b = -100000 THEN 0.0 ELSE pow(1.01::DOUBLE, b + 0.001::DOUBLE) END AS val FROM s),
+q AS (SELECT level, lang, source, m, share, max(total) AS docs, min(val) FILTER (below >= ceil(total * 0.5::DOUBLE)) AS mid, min(val) FILTER (below >= ceil(total * 0.75::DOUBLE)) AS high,
+             min(val) FILTER (below >= ceil(total * 0.995::DOUBLE)) AS reach FROM c GROUP BY ALL),
+f AS (SELECT level, lang, source, m, docs, mid + greatest(share * (reach - mid), 4.0::DOUBLE * (high - mid)) AS fence FROM q),
 p AS (SELECT level, lang, source, max(docs) AS docs, max(fence) FILTER (m = 1) AS f1, max(fence) FILTER (m = 2) AS f2, max(fence) FILTER (m = 3) AS f3, max(fence) FILTER (m = 4) AS f4 FROM f GROUP BY ALL),
-j AS (SELECT v.*, CASE WHEN o.docs >= 100 THEN o WHEN l.docs >= 100 THEN l ELSE e END AS p FROM v
-      JOIN p o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
-      JOIN p l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM v.lang JOIN p e ON e.level = 2)
+j AS (SELECT v.*, CASE WHEN o.docs >= 200 THEN o WHEN l.docs >= 200 THEN l ELSE e END AS p FROM v
+      LEFT JOIN p o ON o.level = 0 AND o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source
+      LEFT JOIN p l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM v.lang LEFT JOIN p e ON e.level = 2)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbol_ratio <= p.f1 AND dup_line_ratio <= p.f2 AND repeat_ratio <= p.f3 AND word_length <= p.f4 AS kept
+       coalesce(NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND symbol_ratio <= p.f1 AND dup_line_ratio <= p.f2 AND repeat_ratio <= p.f3 AND word_length <= p.f4, false) AS kept
 FROM j
 """,
     "op9_mixing": r"""

@@ -1,13 +1,15 @@
 """Quality rules with thresholds that each language and source set themselves.
 
 A document is measured with array expressions inside its own row. Each (language, source) then gets a quantile
-sketch of every measure: counts per bucket of fixed width, which merge by addition, so that the sketch of a
-language is the sum of those of its sources. A fence above the median replaces a fixed cutoff; groups of fewer
-than MIN_GROUP documents use their language's sketch, and such languages the sketch of everything. The fences
-are joined back and decide, next to the two base rules.
+sketch of every measure over its documents that pass the base rules: counts of logarithmic buckets, which hold every
+quantile to a relative error of one per cent and merge by addition, so that the sketch of a language is the sum of
+those of its sources. A measure's fence lies at a share of the way from the group's median to its REACH quantile, and
+never nearer than SPREAD times the distance from the median to the upper quartile; both are read off the group's own
+sketch, and nothing is a constant in a measure's own unit. Groups of fewer than MIN_GROUP documents use their language's
+sketch, and such languages the sketch of everything. The fences are joined back and decide, next to the two base rules.
 
 Only Spark expressions are used. Sketches are summed before the shuffle, so a hot source costs no more than
-its buckets. Windows are told apart by 64-bit hashes whose low bits give way to the position.
+its buckets. Repeated windows are found by hashes and then told apart by their words, so their count is exact.
 """
 
 from __future__ import annotations
@@ -21,16 +23,15 @@ from hindcast.llm.common import SPACE, barrier, bounded, checkpointed, packed, s
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 100
-FENCE = 5.0
+#: 99.5 % is a quantile of its own from 200 documents on.
+MIN_GROUP = 200
+REACH, SPREAD = 0.995, 4.0
+#: Buckets of the sketches: a value's is the least power of GAMMA that isn't below it; ZERO is that of zero.
+GAMMA, ZERO = 1.01, -100_000
+EDGE = 0.001
 
-#: Measure: (bucket width, least distance from the lower quartile to the median that a fence reckons with).
-MEASURES = {
-    "symbol_ratio": (0.005, 0.01),
-    "dup_line_ratio": (0.005, 0.1),
-    "repeat_ratio": (0.005, 0.06),
-    "word_length": (0.02, 0.3),
-}
+#: Measure: the share of the way from the median to the REACH quantile where its fence lies.
+MEASURES = {"symbol_ratio": 0.2, "dup_line_ratio": 0.6, "repeat_ratio": 0.6, "word_length": 0.35}
 
 
 def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
@@ -46,13 +47,16 @@ def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
     )
     kept = [c for c in rows.columns if c not in ("w", "lines")]
-    # Windows as longs: the hash above, the window's position in the low bits.
+    # Candidates by longs: a window's hash above, its position in the low bits. Windows that are alike are among them.
     rows = rows.select(*kept, "w", F.size("w").cast("long").alias("n_words"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.length(F.bin(F.size("w"))).alias("bits"))
-    rows = rows.withColumn("windows", F.expr("if(n_words < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, cast(n_words as int) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & (- shiftleft(1L, bits))) | i)))")).drop("w")
-    rows = rows.withColumn("at", F.expr("""sort_array(transform(filter(windows, (x, i) ->
+    rows = rows.withColumn("windows", F.expr("if(n_words < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, cast(n_words as int) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & (- shiftleft(1L, bits))) | i)))"))
+    rows = rows.withColumn("near", F.expr("""transform(filter(windows, (x, i) ->
         (i > 0 and shiftright(get(windows, i - 1), bits) = shiftright(x, bits)) or (i + 1 < n_words - 2 and shiftright(get(windows, i + 1), bits) = shiftright(x, bits))),
-        x -> x & (shiftleft(1L, bits) - 1)))""")).drop("windows", "bits")
-    repeat = F.expr("if(size(at) = 0, 0L, 3L + aggregate(sequence(1, size(at) - 1), 0L, (a, k) -> a + least(3L, at[k] - at[k - 1])))")
+        x -> cast(x & (shiftleft(1L, bits) - 1) as int))""")).drop("windows", "bits")
+    # The candidates by their words: only equal neighbours stay.
+    rows = rows.withColumn("same", F.expr("sort_array(transform(near, i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) as g, i as i)))")).drop("w", "near")
+    rows = rows.withColumn("at", F.expr("sort_array(transform(filter(same, (x, k) -> (k > 0 and get(same, k - 1).g = x.g) or get(same, k + 1).g = x.g), x -> x.i))")).drop("same")
+    repeat = F.expr("if(size(at) = 0, 0L, 3L + aggregate(sequence(1, size(at) - 1), 0L, (a, k) -> a + least(3, at[k] - at[k - 1])))")
     return rows.select(*kept, "n_words", "n_lines", "n_dup_lines", repeat.alias("n_repeat_words"), barrier().alias("barrier")).withColumns(
         {
             "symbol_ratio": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
@@ -63,10 +67,24 @@ def measures(docs: DataFrame, keep: list[Column]) -> DataFrame:
     )
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
+
+
+def bucket_of(value: Column) -> Column:
+    return F.when(value > 0, F.ceil(F.ln(value) / F.ln(F.lit(GAMMA)))).otherwise(ZERO)
+
+
+def value_of(bucket: Column) -> Column:
+    """The upper end of a bucket, within one per cent of all its values and below none of them (EDGE is for rounding)."""
+    return F.when(bucket == ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), bucket + F.lit(EDGE)))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
-    """lang, source, measure, bucket, n: the mergeable sketch of each measure of each group."""
-    parts = F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / F.lit(width)).alias("bucket")) for m, (width, _) in MEASURES.items()])
-    return measured.select("lang", "source", F.explode_outer(parts).alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
+    """lang, source, measure, bucket, n: the mergeable sketch of each measure over a group's documents that pass the base rules."""
+    parts = F.array(*[F.struct(F.lit(m).alias("measure"), bucket_of(F.col(m)).alias("bucket")) for m in MEASURES])
+    passed = measured.where(~base_failed() & (F.col("barrier") == 0))
+    return passed.select("lang", "source", F.explode_outer(parts).alias("x")).groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
 def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
@@ -74,18 +92,15 @@ def _fences(sketch: DataFrame, by: list[str]) -> DataFrame:
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     run = merged.withColumn("below", F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("below") >= F.ceil(F.col("total") * F.lit(q)), F.col("bucket")))
-    width = F.lit(None).cast("double")
-    least = F.lit(None).cast("double")
-    for m, (x, y) in MEASURES.items():
-        width, least = F.when(F.col("measure") == m, F.lit(x)).otherwise(width), F.when(F.col("measure") == m, F.lit(y)).otherwise(least)
-    found = run.groupBy(*by, "measure").agg(F.max("total").alias("total"), at(0.5).alias("mid"), at(0.25).alias("low"))
-    fence = F.col("mid") * width + F.lit(FENCE) * F.greatest((F.col("mid") - F.col("low")) * width, least)
+    at = lambda q: value_of(F.min(F.when(F.col("below") >= F.ceil(F.col("total") * F.lit(q)), F.col("bucket"))))
+    found = run.groupBy(*by, "measure").agg(F.max("total").alias("total"), at(0.5).alias("mid"), at(0.75).alias("high"), at(REACH).alias("reach"))
+    share = F.coalesce(*[F.when(F.col("measure") == m, F.lit(x)) for m, x in MEASURES.items()])
+    fence = F.col("mid") + F.greatest(share * (F.col("reach") - F.col("mid")), F.lit(SPREAD) * (F.col("high") - F.col("mid")))
     return found.groupBy(*by).agg(F.max("total").alias("docs"), *[F.max(F.when(F.col("measure") == m, fence)).alias(m) for m in MEASURES])
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """A row for each (lang, source) with the fences that hold for it. Its rows are groups, not documents."""
+    """A row for each (lang, source) that has a document that passes the base rules, with the fences that hold for it."""
     sketch = checkpointed(sketches(measured))
     own, lang, every = _fences(sketch, ["lang", "source"]), _fences(sketch, ["lang"]), _fences(sketch.withColumn("all", F.lit(1)), ["all"])
     name = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
@@ -97,12 +112,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """measured with base_failed and kept."""
-    base = (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     ok = ~F.col("base_failed") & (F.col("barrier") == 0)
     for m in MEASURES:
         ok = ok & (F.col(m) <= F.col(f"f_{m}"))
-    joined = measured.join(bounded(fences), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")))
-    return joined.withColumn("base_failed", base).withColumn("kept", ok)
+    joined = measured.join(bounded(fences), F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", F.coalesce(ok, F.lit(False)))
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -288,6 +288,25 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.quality(H.docs(spark, []).limit(0)).count() == 0
 
 
+def test_quality_fences_follow_their_source(spark):
+    r = random.Random(88)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    text = lambda marks: " ".join(word() + ("#" if k < marks else "") for k in range(100))
+    # In "code" documents have up to 20 marks, in "prose" none or one.
+    rows = [(i, text(i % 21), "code") for i in range(420)] + [(1000 + i, text(i % 2), "prose") for i in range(420)]
+    same = text(10)
+    got = {x.doc_id: x for x in quality_rules.quality(H.docs(spark, [*rows, (5000, same, "code"), (5001, same, "prose"), (5002, same, "rare")])).collect()}
+    assert got[5000].kept and not got[5001].kept and not got[5001].base_failed
+    # A source of few documents goes by its language's sketch.
+    assert got[5002].kept and sum(x.kept for x in got.values()) > 820
+
+
+def test_quality_counts_no_false_repeats_in_long_texts(spark):
+    long_ = " ".join(map(str, range(400_000)))
+    by = {x.doc_id: x for x in quality_rules.quality(H.docs(spark, [(1, long_), (2, long_ + " 5 6 7")])).collect()}
+    assert by[1].n_repeat_words == 0 and by[2].n_repeat_words == 6
+
+
 # 9 mixing
 
 
