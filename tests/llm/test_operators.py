@@ -202,50 +202,95 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
 # 7 language model
 
 
-def test_model_is_causal_normalised_and_better_than_chance():
-    size, bos, n = 12, 11, 600
-    seq = np.concatenate([np.append(np.arange(40) % 5 + (i % 2) * 5, 10) for i in range(n)])
-    lengths, labels = np.full(n, 41), np.arange(n) % 2
-    starts = (np.arange(size) % 3 == 0).astype(np.float32)
-    model = attention.train(seq, lengths, labels, 2, starts, bos, epochs=10)
-    scorer = attention.Scorer(model)
-    logp, begin, classes = scorer(seq[:41], np.array([41]), bos)
-    assert logp[5:].mean() > np.log10(1 / 6) and classes[20, 0] > 0.8
-    total = np.zeros(41)
-    for token in range(size):
-        other = seq[:41].copy()
-        other[30] = token
-        total[30] += 10 ** scorer(other, np.array([41]), bos)[0][30]
-        assert np.allclose(scorer(other, np.array([41]), bos)[0][:30], logp[:30], atol=1e-5)
-    assert abs(total[30] - 1) < 1e-3 and (begin <= 1e-6).all()
-    two = scorer(np.concatenate([seq[:41], seq[41:82]]), np.array([41, 41]), bos)[0]
-    assert np.allclose(two[:41], logp, atol=1e-5)
-
-
-def test_gradients_by_finite_differences(monkeypatch):
+def two_registers(docs=120, seed=5):
+    """Texts of two registers whose words are spelled from different letters, as bytes."""
+    r = random.Random(seed)
+    word = lambda k: "".join(r.choice(("abcde", "vwxyz")[k]) for _ in range(r.randint(2, 4)))
+    return [" ".join(word(i % 2) for _ in range(r.randint(40, 150))).encode() for i in range(docs)]
+
+
+def laid_part(texts):
+    part = lm_scoring.Part()
+    for t in texts:
+        part.add(t)
+    return part
+
+
+def test_attention_is_causal_scores_each_word_once_and_tells_registers_apart():
+    subwords = lm_scoring.Subwords(lm_scoring.load_ranks(lm_scoring.TOKENIZER))
+    part = laid_part(two_registers())
+    words, lengths = part.laid()
+    ids, n = subwords.of(part.words())
+    end = len(part.index)
+    model = attention.begin(words, lengths, ids, n, end, subwords.size)
+    table = attention.embedded(model.weights["embed"], ids, n)
+    w = attention.weights_of(model, table, words, lengths, end)
+    assert np.allclose(w.sum(1), 1, atol=1e-4)
+    seen = np.zeros(len(words), int)
+    for _, places, used in attention.batches(words, lengths, end):
+        np.add.at(seen, places[used], 1)
+    assert (seen == 1).all()
+    # What comes after a word doesn't change its weights.
+    other = words.copy()
+    other[20:30] = words[lengths[0] : lengths[0] + 10]
+    assert np.allclose(attention.weights_of(model, table, other, lengths, end)[:21], w[:21], atol=1e-5)
+    p = (w * np.exp(model.spelling.log(ids, n))[words]).sum(1)
+    flat = (w.mean(0) * np.exp(model.spelling.log(ids, n))[words]).sum(1)
+    assert np.log10(p).mean() > np.log10(flat).mean() + 0.15
+
+
+def test_spelling_sums_to_one_and_equals_a_plain_count():
+    r = np.random.default_rng(0)
+    keys = r.integers(0, 5, 40) * 5 + r.integers(0, 4, 40)  # 3 subwords, 3 the stop, 4 the start
+    expert, many = r.integers(0, attention.EXPERTS, 40), r.integers(1, 9, 40)
+    s = attention.Spelling.of(3, keys, expert, many)
+    spelled = [()]
+    total, left = np.zeros(attention.EXPERTS), None
+    for _ in range(5):
+        ids = np.array([i for w in spelled for i in w], dtype=np.int64)
+        log = s.log(ids, np.array([len(w) for w in spelled]))
+        total += np.exp(log).sum(0)
+        spelled = [(*w, i) for w in spelled for i in range(3)]
+    # What is missing is the probability of longer strings: of a start followed by five subwords.
+    c = np.zeros((5, 5, attention.EXPERTS))
+    np.add.at(c, (keys // 5, keys % 5, expert), many)
+    second = c.sum(0) + attention.FLOOR
+    second[4] = 0
+    p = (c + attention.BACK * second / second.sum(0)) / (c.sum(1, keepdims=True) + attention.BACK)
+    assert np.allclose(p.sum(1), 1)
+    for k in range(attention.EXPERTS):
+        left = p[4, :3, k]
+        for _ in range(4):
+            left = left @ p[:3, :3, k]
+        assert abs(total[k] + left.sum() - 1) < 1e-4
+        assert abs(np.exp(s.log(np.array([2, 0]), np.array([2]))[0, k]) - p[4, 2, k] * p[2, 0, k] * p[0, 3, k]) < 1e-6
+
+
+def test_long_words_are_embedded_as_short_ones():
+    e, ids, n = np.random.default_rng(1).normal(size=(50, attention.WIDTH)).astype(np.float32), np.arange(40), np.array([1, 3, 30, 6])
+    got = attention.embedded(e, ids, n)
+    assert np.allclose(got[2], e[4:34].mean(0), atol=1e-5) and np.allclose(got[1], e[1:4].mean(0), atol=1e-5)
+
+
+def test_gradients_by_finite_differences():
     r = np.random.default_rng(2)
-    w = {k: v.astype(np.float64) for k, v in attention.initial(7, 3, 1).items()}
-    inputs, targets = r.integers(0, 7, (2, attention.WINDOW)), r.integers(0, 7, (2, attention.WINDOW))
-    u, labels = r.uniform(0.1, 1, (7, attention.EXPERTS)), np.array([0, 2])
-
-    def loss():
-        z, y, _ = attention.forward(w, inputs)
-        return -np.log((z * u[targets]).sum(2)).sum() - np.log(y[np.arange(2), :, labels]).sum()
-
-    z, y, kept = attention.forward(w, inputs)
-    joint = z * u[targets]
-    dy = y.copy()
-    dy[np.arange(2)[:, None], np.arange(attention.WINDOW), labels[:, None]] -= 1
-    g = attention.backward(w, kept, z - joint / joint.sum(2, keepdims=True), dy)
-    for name in ("embed", "query", "key", "value", "up", "down", "sort", "position"):
-        at = tuple(0 if name != "embed" else int(inputs[0, 3]) if i == 0 else 1 for i in range(w[name].ndim))
-        before = w[name][at]
-        w[name][at] = before + 1e-5
+    w = {k: v.astype(np.float64) for k, v in attention.initial(9, 1).items()}
+    inputs, u = r.integers(0, 9, (2, attention.WINDOW)), r.uniform(0.1, 1, (2, attention.SCORED, attention.EXPERTS))
+    loss = lambda: -np.log((attention.forward(w, w["embed"], inputs)[0] * u).sum(2)).sum()
+    z, kept = attention.forward(w, w["embed"], inputs)
+    g, dx = attention.backward(w, kept, z - z * u / (z * u).sum(2, keepdims=True))
+    at, sums = attention.row_sums(inputs.ravel(), dx.reshape(-1, attention.WIDTH))
+    g["embed"] = np.zeros_like(w["embed"])
+    g["embed"][at] = sums
+    for name in ("embed", "query", "key", "value", "up", "down", "down_bias", "position"):
+        place = tuple(int(inputs[0, 50]) if name == "embed" and i == 0 else 1 for i in range(w[name].ndim))
+        before = w[name][place]
+        w[name][place] = before + 1e-5
         up = loss()
-        w[name][at] = before - 1e-5
+        w[name][place] = before - 1e-5
         down = loss()
-        w[name][at] = before
-        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-2 * max(1, abs(g[name][at])), name
+        w[name][place] = before
+        assert abs((up - down) / 2e-5 - g[name][place]) < 1e-2 * max(1, abs(g[name][place])), name
 
 
 def test_lm_scores(spark):
@@ -407,32 +452,45 @@ def test_placeholders_are_judged_cheap(text):
 # the language model learns from the whole corpus
 
 
-def test_every_learning_window_reaches_the_model(spark, monkeypatch):
-    """Words that only come after the first SAMPLE_CHARS characters, or only in documents out of the sample, are learned."""
+def test_every_learning_word_is_counted_and_the_score_is_the_models_probability(spark, monkeypatch):
+    """Words that only come late in a text, or only in documents out of the sample, are learned; scores are held against a plain sum."""
     monkeypatch.setattr(lm_scoring, "SAMPLE_DOCS", 5)
     made = [(i, "the cat sat " * 10) for i in range(1, 40)] + [(i, "the cat sat " * 600 + "zebra " * 300) for i in range(40, 60)]
     ranks = lm_scoring.load_ranks(lm_scoring.TOKENIZER)
     subwords = lm_scoring.Subwords(ranks)
-    stored = H.docs(spark, made).select(F.col("text").cast("binary").alias("text"), lm_scoring.held_out().alias("held_out"), F.lit(0).alias("class"), "doc_id")
-    seen = []
-    merged = attention.merged
-    monkeypatch.setattr(attention, "merged", lambda model, ids, weight, values: seen.append((ids, values)) or merged(model, ids, weight, values))
-    start, model = lm_scoring.begun(stored, subwords, 1), lm_scoring.fit(stored, ranks, 1)
-    learned = [t.encode() for i, t in made if zlib.crc32(str(i).encode()) % 10]
-    tokens, lengths = lm_scoring.token_ids(learned, subwords)
-    (ids, values), total = seen[0], np.bincount(tokens, minlength=subwords.size)
-    sums = np.zeros(subwords.size)
-    sums[ids[ids >= 0]] = values[ids >= 0, attention.WIDTH :].sum(1)
-    assert np.allclose(sums, total, rtol=1e-3) and len(lengths) == len(learned)
-    zebra = subwords.encode([b"zebra"])[0]
-    assert (model.unigrams[zebra].max(1) > 5 * start.unigrams[zebra].max(1)).all()
-
-
-def test_every_language_has_its_own_counts_and_the_share_is_fitted(spark):
-    stored = spark.createDataFrame([(f"w{i % 7} all".encode(), False, 1, i % 7, f"l{i % 7}") for i in range(21)], "text binary, held_out boolean, block long, class int, lang string")
-    assert sorted(lm_scoring.languages(stored)) == [f"l{k}" for k in range(7)]
-    got = {bytes(x.word): [x[n] for n in lm_scoring.count_names(8)] for x in lm_scoring.with_sums(lm_scoring.count_words(stored, 8), 8).collect()}
-    assert got[b"all"] == [3] * 7 + [0] and all(got[b"w%d" % k] == [3 * (i == k) for i in range(8)] for k in range(7))
-    n = len(lm_scoring.SHARES)
-    rows = [(False, [-5.0] * 3 + [-4.0] + [-6.0] * (n - 4)), (True, [0.0] + [-9.0] * (n - 1))]
-    assert lm_scoring.fitted_share(spark.createDataFrame(rows, "held_out boolean, without array<double>")) == 3
+    stored = H.docs(spark, made).select(F.col("text").cast("binary").alias("text"), lm_scoring.held_out().alias("held_out"), F.lit(0).cast("long").alias("block"), "doc_id").coalesce(1)
+    start = lm_scoring.begun(stored, subwords)
+    learned = lm_scoring.learn(stored, start, ranks).cache()
+    counts = {bytes(x.word): [x[c] for c in lm_scoring.COUNTS] for x in lm_scoring.with_sums(learned.where("kind = 0")).collect()}
+    want = H.word_counts(made)
+    assert {w.decode(): sum(c) for w, c in counts.items()} == dict(want)
+    model = attention.Model(lm_scoring.averaged(learned.where("kind = 2"), start), lm_scoring.spelled(learned.where("kind = 1"), subwords.size))
+    assert any(not np.allclose(model.weights[k], start.weights[k]) for k in model.weights)
+    words = [*counts, b"unseen"]
+    table = np.array([counts.get(w, [0] * attention.EXPERTS) for w in words])
+    totals, types = table.sum(0), (table > 0).sum(0)
+    got = lm_scoring.BlockScorer(list(words), table.copy(), totals, types, len(want), model, subwords).score([b"the zebra sat unseen", b""])
+    part = laid_part([b"the zebra sat unseen", b""])
+    sequence, lengths = part.laid()
+    ids, n = subwords.of(part.words())
+    weights = attention.weights_of(model, attention.embedded(model.weights["embed"], ids, n), sequence, lengths, len(part.index))
+    spell = np.exp(model.spelling.log(ids, n))
+    plain = []
+    for at, w in enumerate(sequence):
+        c = np.array(counts.get(part.words()[w], [0] * attention.EXPERTS))
+        under = [(max(c[k] - 0.7, 0) + 0.7 * types[k] * spell[w, k]) / totals[k] if totals[k] else spell[w, k] for k in range(attention.EXPERTS)]
+        plain.append(math.log10(sum(weights[at, k] * under[k] for k in range(attention.EXPERTS))))
+    assert abs(got[0][3] - sum(plain[:5])) < 1e-3 and abs(got[1][3] - plain[5]) < 1e-3
+
+
+def test_attention_beats_the_word_counts_on_held_out_texts(spark):
+    made = [(i, t.decode(), f"s{i % 2}") for i, t in enumerate(two_registers(300))]
+    out = [x for x in lm_scoring.score_documents(H.docs(spark, made)).collect() if x.held_out]
+    assert sum(x.score for x in out) > sum(x.base_score for x in out) + 0.15 * sum(x.n_tokens for x in out)
+
+
+def test_lm_without_learning_documents_and_with_odd_tables(spark):
+    alone = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
+    got = lm_scoring.score_documents(H.docs(spark, [(alone[0], "a b"), (alone[1], None), (None, "a b"), (alone[0], "a b")])).collect()
+    assert len(got) == 4 and all(x.held_out and x.train_tokens == 0 and x.n_known == 0 and math.isfinite(x.score) for x in got)
+    assert len({(x.n_tokens, x.score) for x in got if x.n_tokens == 3}) == 1
