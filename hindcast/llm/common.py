@@ -68,11 +68,16 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is configured, as in tests, a temporary one is set."""
+    """The shared folder of the cluster (spark.checkpoint.dir, or the session's checkpoint folder).
+
+    Where none is set, a temporary one is made for a master on this machine alone, as in tests; on a cluster that raises.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:
+    if not folder and spark.sparkContext.master.startswith("local"):
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder
 
 
@@ -93,6 +98,27 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = N
     return F.broadcast(df) if small else df
 
 
+#: A group is hot if it has more rows than this and more than one in HOT_KEYS of all, so that fewer than HOT_KEYS groups are.
+HOT_ROWS, HOT_KEYS = 20_000, 50_000
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, left: str, right: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row for each value of right, its rows counted in n) on left = right, without n.
+
+    Rows of a hot group are dealt over several tasks: its row in groups is copied and the rows draw one of the copies by
+    their hash. Hot groups are known to the rows' side by a broadcast, which total (the sum of n, or more) bounds: fewer than
+    HOT_KEYS groups can exceed their share of it. groups must be cheap to compute again or materialised.
+    """
+    most = max(HOT_ROWS, -(-total // HOT_KEYS))
+    copies = F.ceil(F.col(n) / most).cast("int")
+    if total <= most:
+        return rows.join(groups.drop(n), F.col(left) == F.col(right), how)
+    hot = groups.where(F.col(n) > most).select(F.col(right).alias("__hot"), copies.alias("__copies"))
+    dealt = rows.join(F.broadcast(hot), F.col(left) == F.col("__hot"), "left").withColumn("__deal", F.when(F.col("__copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("__copies")).cast("int")))
+    copied = groups.withColumn("__copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop(n)
+    return dealt.join(copied, (F.col(left) == F.col(right)) & (F.col("__deal") == F.col("__copy")), how).drop("__hot", "__copies", "__deal", "__copy")
+
+
 def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Lets Python workers of this session receive long texts in batches of few megabytes, unless a bound below that is set."""
     key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20

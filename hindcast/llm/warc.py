@@ -8,7 +8,8 @@ Spark commits once, says which files count, so lost executors and repeated tasks
 
 Equal payloads: of those of at least REVISIT_BYTES the record with the largest page_id is the response, the
 others are revisit records without a payload. The largest id is found by an aggregate that is summed before the
-shuffle; the join back carries only ids and digests on the aggregate's side.
+shuffle; digests that occur once are left out of it, and while no more than BROADCAST_ROWS are left they are broadcast, so
+that no payload is shuffled. Beyond that the join back shuffles payloads by digest, hot digests dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import small_batches, text_of
+from hindcast.llm.common import BROADCAST_ROWS, checkpointed, small_batches, spread_join, text_of
 
 #: Fixed values of the formats: the magic number of the frame that holds a dictionary, and that of a plain dictionary.
 SKIPPABLE_MAGIC, DICTIONARY_MAGIC = 0x184D2A5D, 0xEC30A437
 REVISIT_BYTES = 1000
-ARCHIVE_BYTES = 16 << 20
-SAMPLE_BYTES, DICTIONARY_BYTES = 4 << 20, 64 << 10
+ARCHIVE_BYTES = 8 << 20
+SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 64 << 10
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
 
@@ -49,8 +50,12 @@ def with_types(pages: DataFrame) -> DataFrame:
     html = text_of("html").cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), html.alias("html"), F.sha1(html).alias("digest"))
     large = F.octet_length("html") >= REVISIT_BYTES
-    last = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "last")
-    joined = rows.join(last, F.col("digest") == F.col("of"), "left")
+    last = checkpointed(rows.where(large).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("of"), "last", "n"))
+    count, total = last.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(last), F.col("digest") == F.col("of"), "left")
+    else:
+        joined = spread_join(rows, last, "digest", "of", "n", total, "left")
     return joined.select("page_id", "url", "html", "digest", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
 
 
@@ -159,7 +164,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    small_batches(pages.sparkSession)
+    small_batches(pages.sparkSession, 4)
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     folder = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
     manifest = f"{folder}/manifest"
