@@ -2,8 +2,8 @@
 
 Every three consecutive lines are hashed to 128 bits; windows without a word don't count. The first occurrence of a
 window is the one with the smallest (doc_id, line), nulls first; all later ones are found by an aggregate over the
-hashes, which is summed before the shuffle, and a join back of light rows (id, digest, position), whose hot keys
-Spark's skew join splits. The lines that later occurrences cover, overlaps merged, are removed. Documents of one or
+hashes, which is summed before the shuffle, and a join back of light rows (id, digest, position), in which a window that
+very many documents share is dealt over several tasks. The lines that later occurrences cover, overlaps merged, are removed. Documents of one or
 two lines have no window and stay.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm.common import barrier, bounded, checkpointed, exploded, packed, row_key, text_of
+from hindcast.llm.common import barrier, bounded, checkpointed, exploded, packed, row_key, spread_join, text_of
 
 WINDOW = 3
 
@@ -32,8 +32,9 @@ def windows(docs: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """r_id, r_digest, gone (positions of lines to remove, each once) for the documents that lose lines."""
     every = windows(docs)
-    first = every.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("of"), "first")
-    later = every.join(first, F.col("hash") == F.col("of")).where(F.struct("id", "at") > F.col("first"))
+    first = checkpointed(every.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("hash").alias("of"), "first", "n"))
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    later = spread_join(every, first, "hash", "of", "n", total).where(F.struct("id", "at") > F.col("first"))
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda s: F.array(*[s + k for k in range(WINDOW)]))))
     return checkpointed(later.groupBy(F.col("id").alias("r_id"), F.col("digest").alias("r_digest")).agg(covered.alias("gone")))
 
