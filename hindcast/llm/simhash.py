@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from hindcast.llm.common import bounded, checkpointed, packed, row_key, small_batches, text_of
+from hindcast.llm.common import bounded, checkpointed, packed, row_key, small_batches, spread_join, text_of
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 BLOCK_BITS = (9, 9, 9, 9, 9, 9, 10)
@@ -93,22 +93,27 @@ def linked(points: np.ndarray, distances: np.ndarray) -> list[tuple[int, int]]:
 
     distances: the table of the points' distances to the pivots.
     """
-    order = np.argsort(distances[:, 0], kind="stable")
-    out, left = [], order
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+    index = np.argsort(distances[:, 0], kind="stable")
+    points, distances = points[index], distances[index]
+    first = np.ascontiguousarray(distances[:, 0])
+    free, count, out = np.ones(len(index), bool), len(index), []
+    for seed in range(len(index)):
+        if not free[seed]:
+            continue
+        free[seed], count, queue = False, count - 1, [seed]
+        while queue and count:
             x = queue.pop()
             # Sorted by the first coordinate, so that its band is a slice.
-            lo, hi = np.searchsorted(distances[left, 0], (int(distances[x, 0]) - MAX_BITS, int(distances[x, 0]) + MAX_BITS + 1))
-            near = left[lo:hi]
+            lo, hi = np.searchsorted(first, (int(distances[x, 0]) - MAX_BITS, int(distances[x, 0]) + MAX_BITS + 1))
+            near = lo + np.flatnonzero(free[lo:hi])
             for m in range(1, distances.shape[1], 5):
                 near = near[(np.abs(distances[near, m : m + 5] - distances[x, m : m + 5]) <= MAX_BITS).all(axis=1)]
             near = near[np.bitwise_count(points[near] ^ points[x]) <= MAX_BITS]
             if len(near):
-                out += [(int(x), int(y)) for y in near]
-                queue += list(near)
-                left = left[~np.isin(left, near)]
+                out += [(int(index[x]), int(index[y])) for y in near]
+                queue += near.tolist()
+                free[near] = False
+                count -= len(near)
     return out
 
 
@@ -158,11 +163,11 @@ def links(nodes: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """fp, root: for each fingerprint in edges the smallest that it is connected with."""
 
-    def star(rows: DataFrame, large: bool) -> DataFrame:
+    def star(rows: DataFrame, large: bool, edges: int) -> DataFrame:
         """rows: u, v. Large: v of u's neighbours above u go to the least of all; small: u and its lower neighbours do."""
         rows = rows.union(rows.select("v", "u")).toDF("u", "v") if large else rows.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = rows.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        joined = rows.join(least, F.col("u") == F.col("w"))
+        least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "n")
+        joined = spread_join(rows, least, "u", "w", "n", 2 * edges)
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -174,17 +179,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return now.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-        before, now = state, checkpointed(star(star(now, True), False))
+        before, now = state, checkpointed(star(star(now, True, state[0]), False, state[0]))
 
 
 def grouped(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """rows (with fp) and component_id, the smallest id_col reachable; rows must be materialised."""
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least")))
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fp"))).withColumnRenamed("fp", "r_fp")
-    placed = nodes.join(roots, F.col("fp") == F.col("r_fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    best = placed.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "b_root")
-    where = placed.join(best, F.col("root") == F.col("b_root")).select(F.col("fp").alias("w_fp"), "component_id")
-    return rows.join(where, F.col("fp") == F.col("w_fp")).drop("w_fp")
+    placed = checkpointed(nodes.join(roots, F.col("fp") == F.col("r_fp"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"))
+    prints, total = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    best = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("prints")).withColumnRenamed("root", "b_root")
+    where = spread_join(placed, best, "root", "b_root", "prints", prints).select(F.col("fp").alias("w_fp"), "component_id", "n")
+    return spread_join(rows.withColumnRenamed("n", "__n") if "n" in rows.columns else rows, where, "fp", "w_fp", "n", total).drop("w_fp").withColumnRenamed("__n", "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
