@@ -25,17 +25,22 @@ MOST_EPOCHS = 2
 BUCKETS = 65_536
 SEED = "mix-1"
 HASH_DIGITS = 12
+#: What the quality weight counts as symbols, and how much they count.
+SYMBOLS, SYMBOLS_COUNT = "#*$%&|<>", 3.0
 
 
 def quality_weight(text: Column) -> Column:
-    """In (0.1, 1]: the share of the text's characters that are neither symbols nor digits, never below a tenth."""
-    bare = F.length(text) - F.length(F.translate(text, "#*$%&|<>=_~^0123456789", ""))
-    return F.greatest(F.lit(0.1), F.lit(1.0) - bare / F.greatest(F.length(text), F.lit(1)))
+    """In [0.1, 1], from two measures of the quality rules: (1 - SYMBOLS_COUNT * symbols a character outside white space)
+    * (1 - repeated lines of all lines with a word), never below a tenth."""
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(F.length(F.regexp_replace(text, SPACE, "")), F.lit(1))
+    repeats = (F.size(lines) - F.size(F.array_distinct(lines))) / F.greatest(F.size(lines), F.lit(1))
+    return F.greatest(F.lit(0.1), (F.lit(1.0) - F.lit(SYMBOLS_COUNT) * symbols) * (F.lit(1.0) - repeats))
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """In (0, 1), from the MD5 of the seed and the id; the same in every run."""
-    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, HASH_DIGITS)
+def uniform(doc_id: Column, digest: Column, seed: str) -> Column:
+    """In (0, 1), from the MD5 of the seed, the id and the text's digest; the same in every run. A null id draws by text alone."""
+    digits = F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), digest)), 1, HASH_DIGITS)
     return (F.conv(digits, 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**HASH_DIGITS))
 
 
@@ -61,13 +66,14 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, keep: list[Column]) -> DataFrame:
     """keep, then size, source_size, target and taken (words, repeats counted) for each row of docs.
 
-    A null text has no words; a null source is a source of its own, last; equal ids draw equal keys, and ties are
-    broken by id and text, so that rows alike in everything are exchangeable. An empty table gives an empty one.
+    A null text has no words; a null source is a source of its own, last; rows alike in id and text draw equal keys, and ties
+    are broken by id and text, so that rows alike in everything are exchangeable. An empty table gives an empty one.
     Within the bucket where a budget ends, a document is taken if at least half of it fits.
     """
     text = text_of("text")
-    key = -F.ln(uniform(F.col("doc_id"), SEED)) / quality_weight(text)
-    rows = docs.select(*keep, F.col("source").alias("s"), F.col("doc_id").alias("id"), F.md5(text.cast("binary")).alias("digest"), F.size(split_words(text, SPACE)).cast("long").alias("size"), key.alias("key"))
+    digest = F.md5(text.cast("binary"))
+    key = -F.ln(uniform(F.col("doc_id"), digest, SEED)) / quality_weight(text)
+    rows = docs.select(*keep, F.col("source").alias("s"), F.col("doc_id").alias("id"), digest.alias("digest"), F.size(split_words(text, SPACE)).cast("long").alias("size"), key.alias("key"))
     rows = rows.withColumn("bucket", F.floor(F.lit(BUCKETS) * (F.lit(1.0) - F.exp(-F.col("key")))))
     return rows
 

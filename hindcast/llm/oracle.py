@@ -58,8 +58,10 @@ FROM j
     "op9_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 k AS (SELECT doc_id, source, md5(text) AS digest, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-             -ln((CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
-             / greatest(0.1::DOUBLE, 1.0::DOUBLE - (length(text) - length(regexp_replace(text, '[#*$%&|<>=_~^0-9]', '', 'g')))::DOUBLE / greatest(length(text), 1)) AS key FROM d),
+             -ln((CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(text)), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)
+             / greatest(0.1::DOUBLE, (1.0::DOUBLE - 3.0::DOUBLE * ((length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::DOUBLE / greatest(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 1)))
+                        * (1.0::DOUBLE - (len(lines) - len(list_distinct(lines)))::DOUBLE / greatest(len(lines), 1))) AS key
+      FROM (SELECT *, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d)),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
 r AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, 2 * source_size AS most FROM s),
 o AS (SELECT *, coalesce(sum(most) OVER w, 0) AS filled, coalesce(sum(weight) OVER w, 0) AS before, sum(source_size) OVER () AS every, sum(weight) OVER () AS weights
