@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from hindcast.llm.common import bounded, checkpointed, small_batches, text_of
+from hindcast.llm.common import BROADCAST_ROWS, checkpointed, small_batches, spread_join, text_of
 
 #: Fixed names of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -172,7 +172,7 @@ def host(url: str = "url"):
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path: of each host the path with most votes; equal votes by score, then by path."""
+    """w_host, w_path, n: of each host the path with most votes (equal votes by score, then by path), and all its votes."""
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +182,8 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     votes = pages.select(host().alias("host"), text_of("html").alias("html")).mapInArrow(vote, "host string, path string, score double")
     summed = votes.where("path != ''").groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
     first = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), F.desc("score"), "path"))
-    return summed.withColumn("first", first).where("first = 1").select(F.col("host").alias("w_host"), F.col("path").alias("w_path"))
+    all_ = F.sum("n").over(Window.partitionBy("host"))
+    return summed.withColumns({"first": first, "all": all_}).where("first = 1").select(F.col("host").alias("w_host"), F.col("path").alias("w_path"), F.col("all").alias("n"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -192,7 +193,8 @@ def extract(pages: DataFrame) -> DataFrame:
     each; other columns are not read. White space of any kind becomes one space, a line break within a block too.
     """
     small_batches(pages.sparkSession)
-    winners = bounded(checkpointed(winning_paths(pages)))
+    winners = checkpointed(winning_paths(pages))
+    count, total = winners.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,5 +203,9 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], schema=schema)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("url"), text_of("html").alias("html"), host().alias("host"))
-    rows = rows.join(winners, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "html", "w_path")
+    if count <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(winners), F.col("host") == F.col("w_host"), "left")
+    else:  # pages are shuffled by host, hot hosts dealt over several tasks
+        rows = spread_join(rows, winners, "host", "w_host", "n", total, "left")
+    rows = rows.select("page_id", "url", "html", "w_path")
     return rows.mapInArrow(read, "page_id long, url string, text string, n_chars long")
