@@ -65,6 +65,6 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
-def read_loss(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
+def read_loss(formatted: Column, loss_role: str = "assistant") -> Column:
+    """All text of a formatted string under the loss mask, unescaped: what the turns of loss_role hold, in order."""
+    return F.array_join(F.transform(F.filter(read_turns(formatted), lambda t: t["role"] == loss_role), lambda t: t["text"]), "")

@@ -11,13 +11,13 @@ from hindcast.llm.common import scratch, table
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    return warc.read_warc(spark, manifest, payloads=False).drop("payload")
+    return warc.read_warc(spark, manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     made = chat_formatting.format_chat(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own))
-    read = made.select("conv_id", chat_formatting.read_turns(F.col("formatted")).alias("turns"), chat_formatting.read_loss(F.col("segments")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    read = made.select("conv_id", chat_formatting.read_turns(F.col("formatted")).alias("turns"), chat_formatting.read_loss(F.col("formatted")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 

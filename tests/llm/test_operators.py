@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.llm import attention, chat_formatting, decontamination, html_extraction, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash, warc
+from hindcast.llm import common
 from hindcast.llm.common import scratch
 from tests.llm import helpers as H
 
@@ -97,7 +98,55 @@ def test_cost_never_exceeds_brute_force_or_any_split():
     r = random.Random(1)
     for _ in range(200):
         a, b = ("".join(r.choice("ab1qwe20pasword") for _ in range(r.randint(0, 9))) for _ in range(2))
-        assert secret_scan.guess_cost(a + b) <= len(a + b) and secret_scan.guess_cost(a + b) <= secret_scan.guess_cost(a) + secret_scan.guess_cost(b) + 1e-9
+        assert secret_scan.guess_cost(a + b) <= sum(map(secret_scan.brute_cost, a + b)) + 1e-9 and secret_scan.guess_cost(a + b) <= secret_scan.guess_cost(a) + secret_scan.guess_cost(b) + 1e-9
+
+
+def test_cost_equals_exhaustive_segmentation():
+    """Every way to cut short values into parts, each priced by rules written anew."""
+    rank, half = secret_scan.ranks(), math.log10(2)
+
+    def part(value, a, b):
+        x = value[a:b].lower()
+        plain = x.translate(str.maketrans("@4310$57", "aaeiosst"))
+        found = [sum(secret_scan.brute_cost(c) for c in value[a:b])] if b - a == 1 else []
+        if len(x) >= 3 and (r := rank.get(x) or 2 * rank.get(plain, 0)):
+            found.append(half + math.log10(r) + (0 if value[a:b] == x else half))
+        if len(x) >= 3 and len(set(x)) == 1 and (a == 0 or value[a - 1].lower() != x[0]):
+            found.append(half + math.log10(26 * len(x)))
+        if len(x) == 4 and x.isdigit() and x[:2] in ("19", "20"):
+            found.append(half + math.log10(120))
+        for size in range(2, 17):
+            if b - a == size and a >= size and value[a - size : a].lower() == x:
+                found.append(half)
+        rows = [line[::d] for line in secret_scan.WALKS for d in (1, -1)]
+        step = lambda i: any(value[i : i + 2].lower() in row for row in rows)
+        if len(x) >= 4 and all(map(step, range(a, b - 1))) and (a == 0 or not step(a - 1)):
+            found.append(half + math.log10(47 * 2 * len(x)))
+        return min(found, default=math.inf)
+
+    r = random.Random(3)
+    pieces = ["pass", "Word", "qwer", "aaa", "12", "2019", "x", "dragon", "$", "9k", "p4ss", "lkj", "-"]
+    for _ in range(150):
+        value = "".join(r.choice(pieces) for _ in range(r.randint(0, 3)))[:10]
+        best = [0.0]
+        for b in range(1, len(value) + 1):
+            best.append(min(best[a] + part(value, a, b) for a in range(b)))
+        assert abs(secret_scan.guess_cost(value) - best[-1]) < 1e-9, value
+
+
+def test_random_values_are_found_and_placeholders_left_alone():
+    r, letters = random.Random(7), "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    made = ["".join(r.choice(letters) for _ in range(r.randint(10, 24))) for _ in range(300)]
+    assert sum(secret_scan.scan_text(f"the pwd = {x} here")[3] for x in made) >= 0.98 * len(made)
+    common = ["your-api-key-here", "replace_with_secret", "example.password", "changeme1234", "insert-token-here", "Summer2024!", "qwertyuiop123", "00000000000", "********", "test_value_2020", "null_null_null"]
+    assert not any(secret_scan.scan_text(f"the pwd = {x} here")[3] for x in common)
+
+
+def test_secret_scan_odd_rows(spark):
+    odd = [(None, "pwd: " + "Zx9$kQ2w" * 4), (5, "token=" + "ab1" * 40_000), (5, ""), (6, "secret: 😀é9xQ$mZ2k7w")]
+    got = secret_scan.find_secrets(H.docs(spark, odd)).collect()
+    assert len(got) == 4 and got[0].doc_id is None and got[0].n_guess == 1 and got[1].n_assign == 1 and got[2].spans == ""
+    assert got[3].spans.endswith(f":{len(odd[3][1])}")
 
 
 def test_secret_scan(spark):
@@ -115,9 +164,10 @@ def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "\\", "<\\s>\\\\<p>", "<", "\n", "", None, "a😀<r>b", "[INST", "</s"]
     made = [(1, i, ("user", "assistant", "assistant", "a<r>\nb", None)[i % 5], t, "own") for i, t in enumerate(nasty)] + [(2, 0, "user", "x", "own"), (2, 0, "user", "x", "own"), (None, None, "assistant", "y", "own")]
     df = spark.createDataFrame(made, "conv_id long, turn long, role string, text string, segments string")
-    out = chat_formatting.format_chat(df).select("conv_id", "formatted", chat_formatting.read_turns(F.col("formatted")).alias("t"), chat_formatting.read_loss(F.col("segments")).alias("loss"))
+    out = chat_formatting.format_chat(df).select("conv_id", "formatted", chat_formatting.read_turns(F.col("formatted")).alias("t"), chat_formatting.read_loss(F.col("formatted")).alias("loss"), F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: chat_formatting.unescaped(x["text"])), "").alias("masked"))
     got = {r.conv_id: r for r in out.collect()}
     assert [tuple(t) for t in got[1].t] == [(m[2] or "", m[3] or "") for m in made[:10]]
+    assert all(x.loss == x.masked for x in got.values())
     assert got[1].loss == "".join(m[3] or "" for m in made[:10] if m[2] == "assistant")
     assert got[1].formatted.count("<p>") == 2 and len(got[2].t) == 2 and got[None].formatted == "<s>assistant<r>y</s>"
     assert chat_formatting.format_chat(df.limit(0)).count() == 0
@@ -494,3 +544,20 @@ def test_lm_without_learning_documents_and_with_odd_tables(spark):
     got = lm_scoring.score_documents(H.docs(spark, [(alone[0], "a b"), (alone[1], None), (None, "a b"), (alone[0], "a b")])).collect()
     assert len(got) == 4 and all(x.held_out and x.train_tokens == 0 and x.n_known == 0 and math.isfinite(x.score) for x in got)
     assert len({(x.n_tokens, x.score) for x in got if x.n_tokens == 3}) == 1
+
+
+# hot groups
+
+
+def test_hot_groups_dealt_over_tasks_give_the_same(spark, monkeypatch):
+    copies = [(i, "a b c d e\n" + "same line\n" * 3 + f"x{i % 3}") for i in range(60)] + [(None, "a b c d e"), (60, None)]
+    big = "<html><body><div class='x'><p>" + "words of the article here " * 50 + "</p></div></body></html>"
+    pages = spark.createDataFrame([(i, f"http://{'hot' if i % 2 else 'h%d' % i}.com/{i}", big, "own", "own") for i in range(40)], PAGES)
+    made = lambda: (rows(line_dedup.dedup_lines(H.docs(spark, copies))), rows(simhash.near_duplicates(H.docs(spark, copies))), rows(warc.with_types(pages).drop("html")), rows(html_extraction.extract(pages)))
+    want = made()
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 1000)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(html_extraction, "BROADCAST_ROWS", 0)
+    assert made() == want
+    assert sum(r[-1] is not None for r in want[2]) == 39
