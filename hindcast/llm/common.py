@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -124,3 +125,10 @@ def small_batches(spark: SparkSession, megabytes: int = 8) -> None:
     key, bound = "spark.sql.execution.arrow.maxBytesPerBatch", megabytes << 20
     if int(spark.conf.get(key).rstrip("bB") or 0) > bound:
         spark.conf.set(key, str(bound))
+
+
+def release_memory() -> None:
+    """Gives memory that a Python worker has freed back to the machine, as it waits for its next task with its heap."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
