@@ -1,7 +1,7 @@
 """Regular liquidity bars from irregular books and executions, and what is read off them.
 
-A hot condition is no single task's work: books and executions are summed by (condition, bin) before the shuffle,
-and only windows over the bins of a condition follow, of which there are as many as the time has bins.
+A hot condition is no single task's work: snapshots are sorted within their (condition, bin), executions are summed
+before the shuffle, and only windows over the bins of a condition follow, of which there are as many as the time has bins.
 """
 
 from __future__ import annotations
@@ -21,21 +21,23 @@ def build_bars(books: DataFrame, fills: DataFrame, gaps: DataFrame, bin_seconds:
     fewer than two points. complete: no open gap, enough observations and a variance.
     """
     b = float(bin_seconds)
-    w = Window.partitionBy("condition").orderBy("ts", "event_id")
-    # The change against the previous snapshot: a window over one condition's snapshots, streamed and spillable.
-    seen = books.withColumn("x", X.logit("mid")).withColumn("d2", F.pow(F.col("x") - F.lag("x").over(w), F.lit(2.0))).withColumn("bin", X.floor_to("ts", b))
+    w = Window.partitionBy("condition", "bin").orderBy("ts", "event_id")
+    seen = books.withColumn("x", X.logit("mid")).withColumn("bin", X.floor_to("ts", b)).withColumn("d2", F.pow(F.col("x") - F.lag("x").over(w), F.lit(2.0)))
     at = F.struct("ts", "event_id")
     made = seen.groupBy("condition", "bin").agg(
         F.min_by("x", at).alias("open"), F.max("x").alias("high"), F.min("x").alias("low"), F.max_by("x", at).alias("close"),
         F.sum("d2").alias("rv"), F.count("*").alias("n_books"), F.avg("spread").alias("spread_mean"), F.avg(F.when(F.col("tick") != 0, F.col("spread") / F.col("tick"))).alias("spread_ticks_mean"),
         F.avg((F.col("bid_size") + F.col("ask_size")) / 2).alias("best_size_mean"), F.avg("depth").alias("depth_mean"), F.avg("imbalance").alias("imbalance_mean"),
     )
+    # The first change of a bin is against the close of the last bin that has snapshots.
+    jump = F.pow(F.col("open") - F.lag("close").over(Window.partitionBy("condition").orderBy("bin")), F.lit(2.0))
+    made = made.withColumn("jump", jump).withColumn("rv", F.when(F.col("rv").isNotNull() | F.col("jump").isNotNull(), F.coalesce("rv", F.lit(0.0)) + F.coalesce("jump", F.lit(0.0)))).drop("jump")
     sold = fills.withColumn("bin", X.floor_to("ts", b)).groupBy("condition", "bin").agg(F.sum("notional").alias("turnover"), F.count("*").alias("n_fills"))
     span = made.select("condition", "bin").union(sold.select("condition", "bin")).groupBy("condition").agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
     grid = span.select("condition", F.explode(F.sequence((F.col("first") / b).cast("long"), (F.col("last") / b).cast("long"))).alias("k")).select("condition", (F.col("k") * b).alias("bin"))
     # Open gaps block the bins that they overlap.
     ends = grid.select("condition", F.col("bin").alias("s"), (F.col("bin") + b).alias("e"))
-    blocked = overlap_join(ends, gaps.where("not resolved"), ["condition"], ("s", "e"), ("gap_start", "gap_end"), b * 8, end_of_time=4e9).select("condition", F.col("s").alias("bin")).distinct().withColumn("blocked", F.lit(True)) if gaps is not None else grid.limit(0).withColumn("blocked", F.lit(True))
+    blocked = overlap_join(ends, gaps.where("not resolved"), ["condition"], ("s", "e"), ("gap_start", "gap_end"), b * 8).select("condition", F.col("s").alias("bin")).distinct().withColumn("blocked", F.lit(True)) if gaps is not None else grid.limit(0).withColumn("blocked", F.lit(True))
     rows = grid.join(made, ["condition", "bin"], "left").join(sold, ["condition", "bin"], "left").join(blocked, ["condition", "bin"], "left")
     n = F.coalesce("n_books", F.lit(0))
     expected = max(1, int(b // sample_seconds))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions import exprs as X
+from hindcast.operators.asof import SLICE, _named, _same, asof_join
 
 HALF_LIVES = {"6h": 6 * 3600.0, "24h": 24 * 3600.0, "72h": 72 * 3600.0, "168h": 168 * 3600.0}
 MAX_AGE = 28 * 86_400.0
@@ -15,15 +16,15 @@ RATIO = 0.2
 def episodes(legs: DataFrame, interval: float) -> DataFrame:
     """Bursts of one wallet's taker legs in one condition: a new one starts interval after the first leg of the last.
 
-    An anchored window, not a session, so the anchors are folded over the sorted times of a (wallet, condition); their
-    number is bounded by the time that the data span. net and gross sum the mapped legs; direction is null without
+    An anchored window, not a session, so the anchors are folded over the sorted distinct times of a (wallet, condition); their
+    number is bounded by the time that the data span. Legs find their anchor by an as-of read. net and gross sum the mapped legs; direction is null without
     gross, below the ratio, or for a net of 0.
     """
     rows = legs.where("role = 'taker'").withColumn("change", X.proposition_change("size", "side", "sign"))
     anchors = F.aggregate(F.array_sort(F.collect_set("ts")), F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= interval), F.concat(a, F.array(t))).otherwise(a))
-    at = rows.groupBy(F.col("wallet").alias("w"), F.col("condition").alias("c")).agg(anchors.alias("anchors")).select("w", "c", F.posexplode("anchors").alias("k", "anchor"), F.get("anchors", F.col("k") + 1).alias("until"))
-    hit = (F.col("wallet") == F.col("w")) & (F.col("condition") == F.col("c")) & (F.col("ts") >= F.col("anchor")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    made = rows.join(at, hit).groupBy("wallet", "condition", "anchor").agg(F.count("*").alias("n_legs"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("net"), F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("gross"))
+    at = rows.groupBy("wallet", "condition").agg(anchors.alias("anchors")).select("wallet", "condition", F.explode("anchors").alias("anchor"))
+    placed = asof_join(rows.select("wallet", "condition", "ts", "change"), at, ["wallet", "condition"], "ts", "anchor", ["anchor"], strict=False, slice_seconds=max(SLICE, 8 * interval))
+    made = placed.groupBy("wallet", "condition", "anchor").agg(F.count("*").alias("n_legs"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("net"), F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("gross"))
     ratio = F.when(F.col("gross") > 0, F.abs("net") / F.col("gross"))
     return made.withColumn("ratio", ratio).withColumn("direction", F.when((F.col("ratio") >= RATIO) & (F.col("net") > 0), "positive").when((F.col("ratio") >= RATIO) & (F.col("net") < 0), "negative"))
 
@@ -40,6 +41,24 @@ def position_asof(decisions: DataFrame, events: DataFrame) -> DataFrame:
     return both.where("decision_id is not null").select("decision_id", "wallet", "condition", "t", "tokens", "cash", "n_unresolved", (F.col("n_unresolved") == 0).alias("complete"))
 
 
+def balances_asof(decisions: DataFrame, events: DataFrame) -> DataFrame:
+    """Of each decision (decision_id, wallet, t) and asset that the wallet has events of strictly before t: balance,
+    cash, n_events and n_unresolved; the fold of the ledger by asset.
+
+    Decisions meet the assets of their wallet, not its events: the sums come from running sums over (wallet, asset).
+    """
+    keys = ["wallet", "asset"]
+    rows = events.select(*keys, "ts", F.coalesce("token_change", F.lit(0.0)).alias("balance"), F.coalesce("cash_change", F.lit(0.0)).alias("cash"), F.lit(1.0).alias("n_events"), F.col("token_change").isNull().cast("double").alias("n_unresolved"))
+    names = ["balance", "cash", "n_events", "n_unresolved"]
+    at = rows.groupBy(*keys, "ts").agg(*[F.sum(n).alias(n) for n in names]).withColumn("slice", F.floor(F.col("ts") / SLICE))
+    run = Window.partitionBy(*keys, "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    over = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carry = at.groupBy(*keys, "slice").agg(*[F.sum(n).alias(n) for n in names]).withColumns({f"b_{n}": F.coalesce(F.sum(n).over(over), F.lit(0.0)) for n in names})
+    summed = at.join(_named(carry, [*keys, "slice"], [f"b_{n}" for n in names]), _same([*keys, "slice"])).select(*keys, "ts", *[(F.sum(n).over(run) + F.col(f"b_{n}")).alias(n) for n in names])
+    pairs = decisions.join(rows.groupBy(*keys).agg(F.min("ts").alias("first")), "wallet").where("first < t").drop("first")
+    return asof_join(pairs, summed, keys, "t", "ts", names, order=["ts"])
+
+
 def decayed_signals(pairs: DataFrame) -> DataFrame:
     """pairs: decision_id, family, age (seconds), relevance, direction, novelty, confidence. For each half-life the signed,
     positive and negative sums over families of each family's largest contribution of either sign."""

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +29,45 @@ def transformed(name: str) -> Column:
 def reference_stats(rows: DataFrame) -> DataFrame:
     """level (cell, condition, pooled), condition, hour, variable, n, median, iqr: exclusive quartiles of the transformed values.
 
-    Fewer than four values have no range; a range is at least the variable's floor.
+    Fewer than four values have no range; a range is at least the variable's floor. The levels that are bounded by time
+    sort a group's values as one array; the pooled level, which has every bar, finds its ranks by counts (pooled_stats).
     """
     parts = F.array(*[F.struct(F.lit(v).alias("variable"), transformed(v).alias("x"), F.lit(FLOORS[v]).alias("least")) for v in VARIABLES])
     flat = rows.withColumn("hour", X.utc_hour("bin_start")).select("condition", "hour", F.explode(parts).alias("p")).select("condition", "hour", "p.*").where("x is not null")
-    sets = flat.groupingSets([["condition", "hour", "variable", "least"], ["condition", "variable", "least"], ["variable", "least"]], "condition", "hour", "variable", "least")
+    sets = flat.groupingSets([["condition", "hour", "variable", "least"], ["condition", "variable", "least"]], "condition", "hour", "variable", "least")
     made = sets.agg(F.grouping_id().alias("g"), F.sort_array(F.collect_list("x")).alias("a"))
-    level = F.when(F.col("g") == 0, "cell").when(F.col("g") == 4, "condition").otherwise("pooled")
+    level = F.when(F.col("g") == 0, "cell").otherwise("condition")
     iqr = F.when(F.size("a") >= 4, X.exclusive_quantile("a", 3) - X.exclusive_quantile("a", 1)).otherwise(0.0)
-    return made.select(level.alias("level"), "condition", "hour", "variable", F.size("a").alias("n"), X.median("a").alias("median"), F.greatest(iqr, F.col("least")).alias("iqr"))
+    fine = made.select(level.alias("level"), "condition", "hour", "variable", F.size("a").alias("n"), X.median("a").alias("median"), F.greatest(iqr, F.col("least")).alias("iqr"))
+    return fine.unionByName(pooled_stats(flat))
+
+
+#: Values are counted in buckets of this width before the few buckets that hold a wanted rank are sorted.
+RANK_WIDTH = 1 / 64
+
+
+def pooled_stats(flat: DataFrame) -> DataFrame:
+    """reference_stats of the pooled level: variable, least and x of all bars.
+
+    Equal values are counted together, buckets of values are summed, and a running sum over the buckets of a variable
+    tells in which of them the ranks of median and quartiles lie; only their values are sorted.
+    """
+    values = flat.groupBy("variable", "least", "x").agg(F.count("*").alias("m")).withColumn("bucket", F.floor(F.col("x") / RANK_WIDTH))
+    buckets = values.groupBy("variable", "bucket").agg(F.sum("m").alias("m"))
+    w = Window.partitionBy("variable").orderBy("bucket")
+    run = buckets.withColumn("upto", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("m").over(Window.partitionBy("variable"))).withColumn("from", F.col("upto") - F.col("m"))
+    low = lambda k: F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.lit(k) * (F.col("n") + 1) / 4)))
+    ranks = {"q1a": low(1), "q1b": low(1) + 1, "q3a": low(3), "q3b": low(3) + 1, "m_a": F.floor((F.col("n") + 1) / 2), "m_b": F.floor(F.col("n") / 2) + 1}
+    wanted = run.withColumn("w", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("long").alias("rank")) for k, v in ranks.items()]))).where("w.rank > from and w.rank <= upto")
+    wanted = wanted.select(F.col("variable").alias("v"), F.col("bucket").alias("b"), "from", "n", "w.name", "w.rank")
+    inside = values.join(wanted.select("v", "b", "from").distinct(), (F.col("variable") == F.col("v")) & (F.col("bucket") == F.col("b"))).drop("v", "b")
+    order = Window.partitionBy("variable", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("to", F.col("from") + F.sum("m").over(order)).drop("from")
+    hit = inside.join(wanted, (F.col("variable") == F.col("v")) & (F.col("bucket") == F.col("b")) & (F.col("rank") <= F.col("to")) & (F.col("rank") > F.col("to") - F.col("m")))
+    wide = hit.groupBy("variable", "least").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("name") == k, F.col("x"))).alias(k) for k in ranks])
+    part = lambda k: (F.col(f"q{k}a") * (F.lit(4) - (F.lit(k) * (F.col("n") + 1) - low(k) * 4)) + F.col(f"q{k}b") * (F.lit(k) * (F.col("n") + 1) - low(k) * 4)) / 4
+    iqr = F.when(F.col("n") >= 4, part(3) - part(1)).otherwise(0.0)
+    return wide.select(F.lit("pooled").alias("level"), F.lit(None).cast("string").alias("condition"), F.lit(None).cast("int").alias("hour"), "variable", F.col("n").cast("int").alias("n"), ((F.col("m_a") + F.col("m_b")) / 2).alias("median"), F.greatest(iqr, F.col("least")).alias("iqr"))
 
 
 def stationarize(rows: DataFrame, stats: DataFrame) -> DataFrame:
@@ -57,23 +86,45 @@ def stationarize(rows: DataFrame, stats: DataFrame) -> DataFrame:
     return wide.select(*out, F.when(F.col("turnover") > 0, 1.0).otherwise(0.0).alias("traded"))
 
 
-def online_costs(segmented: DataFrame, centroids: list[list[float]], penalty: float) -> DataFrame:
-    """condition, segment, bin_start, mode_online: the forward filter as a fold over each segment's vectors.
+#: Bars of a segment that are folded as one array.
+FOLD_BARS = 256
 
-    A segment ends at a gap, so its length is bounded by the time that it covers.
+
+def cost_differences(segmented: DataFrame, centroids: list[list[float]], penalty: float) -> DataFrame:
+    """condition, segment, bin_start, d: by how much the best path that ends in mode 1 costs more than that which ends in mode 0.
+
+    With two modes the filter's state is one number, and a step holds it to +-penalty and adds the bar's own difference of
+    distances. Steps of this kind compose to a step of this kind (hold to [lo, hi], add s), so a long segment is cut into
+    slices: each is composed by a fold that carries three numbers, a fold over the slices gives the state before each, and
+    a last fold gives the state at each of a slice's FOLD_BARS bars at most.
     """
-    dist = lambda x: [X.squared_distance(x["v"], F.array(*[F.lit(float(c)) for c in centroid])) for centroid in centroids]
+    lam = F.lit(float(penalty))
+    distance = lambda c: X.squared_distance(F.array(*DIMENSIONS), F.array(*[F.lit(float(x)) for x in c]))
+    keys = ["condition", "segment"]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("bin_start")) - 1
+    rows = segmented.select(*keys, "bin_start", (distance(centroids[1]) - distance(centroids[0])).alias("e")).withColumn("slice", F.floor(place / FOLD_BARS))
+    slices = rows.groupBy(*keys, "slice").agg(F.array_sort(F.collect_list(F.struct(F.col("bin_start").alias("t"), "e"))).alias("x"))
+    hold = lambda d: F.greatest(-lam, F.least(lam, d))
+
+    def compose(g: Column, x: Column) -> Column:
+        at = lambda v: F.greatest(-lam - g["s"], F.least(lam - g["s"], v))
+        return F.struct(at(g["lo"]).alias("lo"), at(g["hi"]).alias("hi"), (g["s"] + x["e"]).alias("s"))
+
+    start = F.struct(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0.0).alias("s"))
+    made = slices.withColumn("g", F.aggregate("x", start, compose))
+    # The state before the first bar is 0, which holding leaves alone.
+    after = lambda d, g: F.greatest(g["lo"], F.least(g["hi"], d)) + g["s"]
+    chained = made.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("slice", "g"))).alias("all"))
+    chained = chained.withColumn("before", F.aggregate("all", F.array(F.lit(0.0)), lambda a, y: F.concat(a, F.array(after(F.element_at(a, -1), y["g"])))))
+    before = chained.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.posexplode("before").alias("b_slice", "d0"))
+    joined = made.join(before, (F.col("condition") == F.col("b_condition")) & (F.col("segment") == F.col("b_segment")) & (F.col("slice") == F.col("b_slice")))
+    folded = F.aggregate("x", F.array(F.struct(F.lit(None).cast("double").alias("t"), F.col("d0").alias("d"))), lambda a, y: F.concat(a, F.array(F.struct(y["t"].alias("t"), (hold(F.element_at(a, -1)["d"]) + y["e"]).alias("d")))))
+    return joined.select(*keys, F.explode(folded).alias("y")).where("y.t is not null").select(*keys, F.col("y.t").alias("bin_start"), F.col("y.d").alias("d"))
 
-    def step(s: Column, x: Column) -> Column:
-        d0, d1 = dist(x)
-        p = F.element_at(s, -1)
-        a = F.when(F.size(s) == 0, d0).otherwise(d0 + F.least(p["a"], p["b"] + penalty))
-        b = F.when(F.size(s) == 0, d1).otherwise(d1 + F.least(p["b"], p["a"] + penalty))
-        return F.concat(s, F.array(F.struct(x["t"].alias("t"), a.alias("a"), b.alias("b"))))
 
-    rows = segmented.select("condition", "segment", F.struct(F.col("bin_start").alias("t"), F.array(*DIMENSIONS).alias("v")).alias("x"))
-    folded = rows.groupBy("condition", "segment").agg(F.aggregate(F.array_sort(F.collect_list("x")), F.array().cast("array<struct<t:double,a:double,b:double>>"), step).alias("s"))
-    return folded.select("condition", "segment", F.explode("s").alias("s")).select("condition", "segment", F.col("s.t").alias("bin_start"), F.when(F.col("s.a") <= F.col("s.b"), 0).otherwise(1).alias("mode_online"))
+def online_costs(segmented: DataFrame, centroids: list[list[float]], penalty: float) -> DataFrame:
+    """condition, segment, bin_start, mode_online: the mode with the lower cost so far, without looking ahead; ties take 0."""
+    return cost_differences(segmented, centroids, penalty).select("condition", "segment", "bin_start", F.when(F.col("d") >= 0, 0).otherwise(1).alias("mode_online"))
 
 
 def viterbi(x: np.ndarray, centroids: np.ndarray, penalty: float) -> np.ndarray:
@@ -93,21 +144,38 @@ def viterbi(x: np.ndarray, centroids: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def smoothed_modes(segmented: DataFrame, centroids: list[list[float]], penalty: float) -> DataFrame:
-    """condition, segment, bin_start, mode of each bar, by dynamic programming within each segment."""
-    c = np.array(centroids)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin_start")
-        return pdf[["condition", "segment", "bin_start"]].assign(mode=viterbi(pdf[list(DIMENSIONS)].to_numpy(), c, penalty).astype("int32"))
+    """condition, segment, bin_start, mode: the path with the least total cost of each segment, as viterbi() gives it.
 
-    return segmented.groupBy("condition", "segment").applyInPandas(assign, "condition string, segment long, bin_start double, mode int")
+    Where the difference of costs is beyond the penalty, the path's mode there is certain whatever comes after; elsewhere it
+    is the mode of the next bar. So the modes are the first certain one at or after each bar, which a window finds.
+    """
+    d = F.col("d")
+    last = F.lead("d").over(Window.partitionBy("condition", "segment").orderBy("bin_start")).isNull()
+    sure = F.when(last, F.when(d >= 0, 0).otherwise(1)).when(d >= penalty, 0).when(d < -penalty, 1)
+    w = Window.partitionBy("condition", "segment").orderBy("bin_start").rowsBetween(0, Window.unboundedFollowing)
+    rows = cost_differences(segmented, centroids, penalty).withColumn("sure", sure)
+    return rows.select("condition", "segment", "bin_start", F.first("sure", ignorenulls=True).over(w).alias("mode"))
 
 
 def initial_centroids(rows: DataFrame) -> list[list[float]]:
-    """The means of the lower and the upper half by volatility."""
-    cut = rows.approxQuantile("z_volatility", [0.5], 0.001)[0]
-    got = rows.groupBy((F.col("z_volatility") > cut).alias("high")).agg(*[F.avg(d).alias(d) for d in DIMENSIONS]).orderBy("high").collect()
-    return [[float(r[d]) for d in DIMENSIONS] for r in got]
+    """The means of the lower and the upper half by volatility; ties are ranked by condition and bin.
+
+    The half is found by counts of volatility's buckets, and only the bucket with the middle rank is sorted.
+    """
+    width = 1 / 64
+    marked = rows.withColumn("bucket", F.floor(F.col("z_volatility") / width))
+    counts = sorted((r["bucket"], r["n"]) for r in marked.groupBy("bucket").agg(F.count("*").alias("n")).collect())  # winsorised: at most 1,281 buckets
+    half, seen, middle = sum(n for _, n in counts) // 2, 0, None
+    for bucket, n in counts:
+        if seen + n > half:
+            middle = bucket
+            break
+        seen += n
+    order = Window.partitionBy("bucket").orderBy("z_volatility", "condition", "bin_start")
+    inside = marked.where(F.col("bucket") == middle).withColumn("place", F.row_number().over(order) + seen)
+    high = marked.where(F.col("bucket") != middle).withColumn("high", F.col("bucket") > middle).unionByName(inside.withColumn("high", F.col("place") > half).drop("place"))
+    got = {r["high"]: [float(r[d]) for d in DIMENSIONS] for r in high.groupBy("high").agg(*[F.avg(d).alias(d) for d in DIMENSIONS]).collect()}
+    return [got[False], got[True]]
 
 
 def fit_jump_model(segmented: DataFrame, penalty: float | None = None, least_run: float = 3.0, rounds: int = 50) -> dict:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hindcast.functions import exprs as X
 from hindcast.operators import decisions as D
 from hindcast.operators import normalize as N
-from hindcast.operators.asof import asof_join, overlap_join
+from hindcast.operators.asof import asof_join, best_before, overlap_join, trailing
 from hindcast.plans import study
 from hindcast.plans.normalization import _ACT, activity
 from hindcast.plans.study import rounded
@@ -20,16 +20,13 @@ DAY = 86_400.0
 
 
 def cuts(spark, sf_dir):
-    """A cutoff for every customer: when its orders with an even key begin."""
-    return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("cut"), F.col("o_custkey").alias("market"), X.epoch("o_orderdate").alias("t"))
+    """Cutoffs: when each order begins."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cut"), F.col("o_custkey").alias("market"), X.epoch("o_orderdate").alias("t"))
 
 
 def status_asof(spark, sf_dir):
     """The status known strictly before each cutoff: of those observed by then the latest by effect, which is another order."""
-    c, s = cuts(spark, sf_dir), A.status_versions(spark, sf_dir).withColumnRenamed("market", "m")
-    seen = c.join(s, (F.col("market") == F.col("m")) & (F.col("first_observed_at") < F.col("t")), "left")
-    best = F.max_by(F.struct("state", "effective_from"), F.when(F.col("obs").isNotNull(), F.struct("effective_from", "obs")))
-    return seen.groupBy("cut", "market", "t").agg(best.alias("b")).select("cut", "market", "t", "b.state", "b.effective_from")
+    return best_before(cuts(spark, sf_dir), A.status_versions(spark, sf_dir), ["market"], "t", "first_observed_at", ["effective_from", "obs"], ["state", "effective_from"])
 
 
 def contract_asof(spark, sf_dir):
@@ -38,7 +35,7 @@ def contract_asof(spark, sf_dir):
 
 def moments(spark, sf_dir):
     """Decision moments on the books' conditions: purchases."""
-    return table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 4 = 0").select(F.col("event_id").alias("decision"), F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (F.col("user_id") % 5 + 1).cast("int")).alias("condition"), F.floor(X.epoch("ts")).cast("double").alias("t"))
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("decision"), F.element_at(F.array(*[F.lit(x) for x in ("click", "error", "purchase", "signup", "view")]), (F.col("user_id") % 5 + 1).cast("int")).alias("condition"), F.floor(X.epoch("ts")).cast("double").alias("t"))
 
 
 def book_before(spark, sf_dir):
@@ -47,7 +44,7 @@ def book_before(spark, sf_dir):
 
 def market_series_policy(spark, sf_dir):
     """States in the six hours before each moment: from books if there are any, else from executions; and which it was."""
-    b = A.books(spark, sf_dir).where("event_id % 9 = 0").select("condition", "ts", F.lit("books").alias("source"), F.col("mid").alias("price"))
+    b = A.books(spark, sf_dir).select("condition", "ts", F.lit("books").alias("source"), F.col("mid").alias("price"))
     e = A.fills(spark, sf_dir).select("condition", "ts", F.lit("executions").alias("source"), "price")
     rows = b.union(e).withColumn("slot", F.floor(F.col("ts") / BAR)).withColumnRenamed("condition", "c")
     m = moments(spark, sf_dir).withColumn("s", F.explode(F.array(F.floor(F.col("t") / BAR), F.floor(F.col("t") / BAR) - 1)))
@@ -61,7 +58,7 @@ def market_series_policy(spark, sf_dir):
 def blocking_gaps(spark, sf_dir):
     """Unresolved gaps that overlap the day before each moment."""
     m = moments(spark, sf_dir).withColumn("since", F.col("t") - DAY)
-    hit = overlap_join(m, A.gaps(spark, sf_dir).where("not resolved"), ["condition"], ("since", "t"), ("gap_start", "gap_end"), DAY, end_of_time=2e9)
+    hit = overlap_join(m, A.gaps(spark, sf_dir).where("not resolved"), ["condition"], ("since", "t"), ("gap_start", "gap_end"), DAY)
     return hit.groupBy("decision").agg(F.count("*").alias("gaps"), F.min("r_gap_id").alias("first_gap"))
 
 
@@ -87,11 +84,10 @@ def position_events(spark, sf_dir):
 
 
 def position_asof(spark, sf_dir):
-    """Positions at the start of 1997 and of 2000 of each wallet in the twenty first conditions."""
-    e = position_events(spark, sf_dir).where("condition <= 20")
-    pairs = e.select("wallet", "condition").distinct()
-    d = pairs.withColumn("t", F.explode(F.array(F.lit(852_076_800.0), F.lit(946_684_800.0)))).withColumn("decision_id", F.concat_ws(":", "wallet", "condition", F.col("t").cast("long")))
-    return rounded(D.position_asof(d, e).select("decision_id", "tokens", "cash", "n_unresolved", "complete"), 6)
+    """Of each wallet the ledger by asset strictly before the starts of 1997 and of 2000."""
+    e = position_events(spark, sf_dir)
+    d = e.select("wallet").distinct().withColumn("t", F.explode(F.array(F.lit(852_076_800.0), F.lit(946_684_800.0)))).withColumn("decision_id", F.concat_ws(":", "wallet", F.col("t").cast("long")))
+    return rounded(D.balances_asof(d, e).select("decision_id", "asset", "balance", "cash", F.col("n_events").cast("long").alias("n_events"), F.col("n_unresolved").cast("long").alias("n_unresolved"), (F.col("n_unresolved") == 0).alias("complete")), 6)
 
 
 def reconcile_positions(spark, sf_dir):
@@ -104,23 +100,23 @@ def reconcile_positions(spark, sf_dir):
 
 
 def episodes(spark, sf_dir):
-    return rounded(D.episodes(A.legs(spark, sf_dir).where("condition <= 40"), INTERVAL))
+    return rounded(D.episodes(A.legs(spark, sf_dir), INTERVAL))
 
 
 def at_risk_grid(spark, sf_dir):
     """For each condition a grid of six hours from a day after its first book, with an execution before and whether one follows."""
     b = A.books(spark, sf_dir).groupBy("condition").agg(F.min("ts").alias("a"), F.max("ts").alias("z"))
     grid = b.select("condition", "a", "z", F.explode(F.sequence(F.lit(0), F.floor((F.col("z") - F.col("a") - DAY - BAR) / BAR).cast("int"))).alias("k")).select("condition", F.floor(F.col("a") + DAY + F.col("k") * BAR).cast("double").alias("t"))
-    trades = A.fills(spark, sf_dir).where("notional > 60").select(F.col("condition").alias("c"), "ts").withColumn("slot", F.floor(F.col("ts") / BAR))
+    trades = A.fills(spark, sf_dir).select(F.col("condition").alias("c"), "ts").withColumn("slot", F.floor(F.col("ts") / BAR))
     near = grid.withColumn("s", F.explode(F.array(F.floor(F.col("t") / BAR), F.floor(F.col("t") / BAR) + 1)))
     acts = near.join(trades, (F.col("condition") == F.col("c")) & (F.col("s") == F.col("slot")) & (F.col("ts") >= F.col("t")) & (F.col("ts") < F.col("t") + BAR), "left_semi").select("condition", "t").distinct().withColumn("label", F.lit(1))
-    known = asof_join(grid, A.fills(spark, sf_dir).where("notional > 60"), ["condition"], "t", "ts", ["event_id"], max_age=7 * DAY)
+    known = asof_join(grid, A.fills(spark, sf_dir), ["condition"], "t", "ts", ["event_id"], max_age=7 * DAY)
     return known.where("event_id is not null").join(acts, ["condition", "t"], "left").select("condition", "t", F.coalesce("label", F.lit(0)).alias("label"))
 
 
 def features_base(spark, sf_dir):
     """Of each episode the wallet's share of positive legs strictly before it, over all conditions, and that it has none."""
-    e = D.episodes(A.legs(spark, sf_dir).where("condition <= 40"), INTERVAL).select("wallet", "condition", F.col("anchor").alias("t"))
+    e = D.episodes(A.legs(spark, sf_dir), INTERVAL).select("wallet", "condition", F.col("anchor").alias("t"))
     legs = A.legs(spark, sf_dir).where("sign is not null and side is not null").withColumn("pos", (X.proposition_change("size", "side", "sign") > 0).cast("int"))
     rows = legs.select("wallet", F.col("ts").alias("t"), F.lit(1).alias("o"), "pos", F.lit(None).cast("bigint").alias("condition")).unionByName(e.select("wallet", "t", F.lit(0).alias("o"), F.lit(None).cast("int").alias("pos"), "condition"))
     w = Window.partitionBy("wallet").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
@@ -130,12 +126,14 @@ def features_base(spark, sf_dir):
 
 def features_actor(spark, sf_dir):
     """Of each episode the wallet's legs in the half-year before it: count, gross size, net change; and the time since the last."""
-    e = D.episodes(A.legs(spark, sf_dir).where("condition <= 40"), INTERVAL).select("wallet", "condition", F.col("anchor").alias("t"))
+    e = D.episodes(A.legs(spark, sf_dir), INTERVAL).select("wallet", "condition", F.col("anchor").alias("t"))
     legs = A.legs(spark, sf_dir).withColumn("change", X.proposition_change("size", "side", "sign"))
-    hit = e.join(legs.select(F.col("wallet").alias("w"), "ts", "size", "change", F.col("condition").alias("c")), (F.col("wallet") == F.col("w")) & (F.col("ts") < F.col("t")), "left")
-    recent = F.col("ts") >= F.col("t") - INTERVAL
-    made = hit.groupBy("wallet", "condition", "t").agg(F.count_if(recent).alias("act_recent_trade_count"), F.coalesce(F.sum(F.when(recent, F.col("size"))), F.lit(0.0)).alias("act_recent_gross_volume"), F.coalesce(F.sum(F.when(recent, F.col("change"))), F.lit(0.0)).alias("act_recent_net_prop_change"), F.max("ts").alias("last"), F.count_if(F.col("c") == F.col("condition")).alias("act_category_trade_count"))
-    return rounded(made.select("wallet", "condition", "t", "act_recent_trade_count", "act_recent_gross_volume", "act_recent_net_prop_change", "act_category_trade_count", F.coalesce(F.col("t") - F.col("last"), F.lit(DAY)).alias("act_time_since_last_trade"), F.col("last").isNull().cast("double").alias("act_time_since_last_trade_missing")))
+    sums = {"act_recent_trade_count": F.lit(1), "act_recent_gross_volume": F.col("size"), "act_recent_net_prop_change": F.col("change")}
+    rows = trailing(e, legs, ["wallet"], "t", "ts", INTERVAL, sums)
+    rows = trailing(rows, legs, ["wallet", "condition"], "t", "ts", 1e10, {"act_category_trade_count": F.lit(1)})
+    rows = asof_join(rows, legs.withColumnRenamed("ts", "last"), ["wallet"], "t", "last", ["last"], order=["last"])
+    count = lambda c: F.col(c).cast("long").alias(c)
+    return rounded(rows.select("wallet", "condition", "t", count("act_recent_trade_count"), "act_recent_gross_volume", "act_recent_net_prop_change", count("act_category_trade_count"), F.coalesce(F.col("t") - F.col("last"), F.lit(DAY)).alias("act_time_since_last_trade"), F.col("last").isNull().cast("double").alias("act_time_since_last_trade_missing")))
 
 
 def _day_before(spark, sf_dir, rows, time="ts"):
@@ -159,7 +157,7 @@ def features_market(spark, sf_dir):
 def judgments(spark, sf_dir):
     """Relevance of each claim to each market (a benchmark item) that shares a word: found over shared words, not all pairs."""
     c = A.claims(spark, sf_dir).where("size(words) > 0").select("article", "seen_at", "family", "source", F.col("words").alias("cw"), F.explode("words").alias("word"))
-    q = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("market"), X.tokens("text").alias("qw")).withColumn("word", F.explode("qw")).withColumn("nq", F.size("qw"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("market"), X.tokens("text").alias("qw")).withColumn("word", F.explode("qw")).withColumn("nq", F.size("qw"))
     hit = c.join(q, "word").groupBy("article", "market").agg(F.count("*").alias("shared"), F.first("nq").alias("nq"), F.first("seen_at").alias("seen_at"), F.first("family").alias("family"), F.first("cw").alias("cw"))
     score = F.round(F.col("shared") / F.col("nq"), 6)
     return hit.select("article", "market", "seen_at", "family", score.alias("rel_score"), X.relevance_class(score).alias("rel_class"), F.when(F.col("article") % 3 == 0, -1).otherwise(1).alias("direction"))
@@ -171,17 +169,16 @@ def relevance_overlap(spark, sf_dir):
 
 def news_decisions(spark, sf_dir):
     """A decision on every market at the end of each fifth day."""
-    q = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").alias("market"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("market"))
     return q.withColumn("day", F.explode(F.sequence(F.lit(5), F.lit(30), F.lit(5)))).select("market", (F.lit(A.START) + F.col("day") * DAY).alias("t"), F.concat_ws(":", "market", "day").alias("decision_id"))
 
 
 def relevance_snapshot(spark, sf_dir):
     """Of each decision and family the latest judgment strictly before it; ties of time stay."""
-    d = news_decisions(spark, sf_dir)
-    j = judgments(spark, sf_dir).withColumnRenamed("market", "m")
-    hit = d.join(j, (F.col("market") == F.col("m")) & (F.col("seen_at") < F.col("t")))
-    w = Window.partitionBy("decision_id", "family").orderBy(F.desc("seen_at"))
-    return hit.withColumn("r", F.rank().over(w)).where("r = 1").select("decision_id", "family", "article", "seen_at", "rel_score", "rel_class", "direction")
+    d, j = news_decisions(spark, sf_dir), judgments(spark, sf_dir)
+    pairs = d.join(j.groupBy("market", "family").agg(F.min("seen_at").alias("first")), "market").where("first < t").drop("first")
+    last = asof_join(pairs, j.withColumnRenamed("seen_at", "at"), ["market", "family"], "t", "at", ["at"], order=["at"])
+    return last.join(j, (last["market"] == j["market"]) & (last["family"] == j["family"]) & (F.col("at") == F.col("seen_at"))).select("decision_id", last["family"], "article", "seen_at", "rel_score", "rel_class", "direction")
 
 
 def features_news(spark, sf_dir):
@@ -237,17 +234,17 @@ def outcomes_by_horizon(spark, sf_dir):
     return rounded(rows.select("decision", "horizon", status.alias("status"), F.when(seen, F.col("close") - F.col("c0")).alias("change")))
 
 
-_CUT = "cuts AS (SELECT o_orderkey AS cut, o_custkey AS market, epoch_us(o_orderdate)/1e6 AS t FROM orders WHERE o_orderkey % 7 = 0)"
-_MOM = "moments AS (SELECT event_id AS decision, (['click', 'error', 'purchase', 'signup', 'view'])[user_id % 5 + 1] AS condition, floor(epoch_us(ts)/1e6) AS t FROM events WHERE event_type = 'purchase' AND event_id % 4 = 0)"
+_CUT = "cuts AS (SELECT o_orderkey AS cut, o_custkey AS market, epoch_us(o_orderdate)/1e6 AS t FROM orders)"
+_MOM = "moments AS (SELECT event_id AS decision, (['click', 'error', 'purchase', 'signup', 'view'])[user_id % 5 + 1] AS condition, floor(epoch_us(ts)/1e6) AS t FROM events WHERE event_type = 'purchase')"
 _TOK = f"list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9'']+)', 1), lambda w: length(w) > 2 AND w NOT IN ({A._STOP})))"
-_JUD = f"""bq AS (SELECT item_id AS market, {_TOK} AS qw FROM benchmark WHERE item_id < 40), cw AS (SELECT article, seen_at, family, unnest(words) AS w FROM claims), qq AS (SELECT market, len(qw) AS nq, unnest(qw) AS w FROM bq),
+_JUD = f"""bq AS (SELECT item_id AS market, {_TOK} AS qw FROM benchmark), cw AS (SELECT article, seen_at, family, unnest(words) AS w FROM claims), qq AS (SELECT market, len(qw) AS nq, unnest(qw) AS w FROM bq),
     jud AS (SELECT *, CASE WHEN rel_score >= 0.3 THEN 'direct' WHEN rel_score >= 0.1 THEN 'indirect' WHEN rel_score > 0 THEN 'background' ELSE 'irrelevant' END AS rel_class, CASE WHEN article % 3 = 0 THEN -1 ELSE 1 END AS direction
     FROM (SELECT article, market, min(seen_at) AS seen_at, min(family) AS family, round(count(*) / min(nq), 6) AS rel_score FROM cw JOIN qq USING (w) GROUP BY article, market)),
-    nd AS (SELECT item_id AS market, 1704067200.0::DOUBLE + d * 86400.0::DOUBLE AS t, item_id || ':' || d AS decision_id FROM benchmark, unnest(range(5, 31, 5)) AS u(d) WHERE item_id < 40),
+    nd AS (SELECT item_id AS market, 1704067200.0::DOUBLE + d * 86400.0::DOUBLE AS t, item_id || ':' || d AS decision_id FROM benchmark, unnest(range(5, 31, 5)) AS u(d)),
     snap AS (SELECT decision_id, t, family, article, seen_at, rel_score, rel_class, direction FROM nd JOIN jud USING (market) WHERE seen_at < t QUALIFY rank() OVER (PARTITION BY decision_id, family ORDER BY seen_at DESC) = 1)"""
 _N = duck("articles", "claims") + ", " + _JUD
 _M = duck("books", "fills", "gaps") + ", " + _MOM
-_EPI = duck("legs") + f""", tl AS (SELECT *, row_number() OVER (PARTITION BY wallet, condition ORDER BY ts, leg_id) AS k, size * (CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) * sign AS ch FROM legs WHERE role = 'taker' AND condition <= 40),
+_EPI = duck("legs") + f""", tl AS (SELECT *, row_number() OVER (PARTITION BY wallet, condition ORDER BY ts, leg_id) AS k, size * (CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) * sign AS ch FROM legs WHERE role = 'taker'),
     r AS (SELECT wallet, condition, k, ts AS anchor, ch FROM tl WHERE k = 1 UNION ALL SELECT t.wallet, t.condition, t.k, CASE WHEN t.ts - r.anchor >= {INTERVAL} THEN t.ts ELSE r.anchor END, t.ch FROM r JOIN tl t ON t.wallet = r.wallet AND t.condition = r.condition AND t.k = r.k + 1),
     ep AS (SELECT wallet, condition, anchor, count(*) AS n_legs, coalesce(sum(ch), 0)::DOUBLE AS net, coalesce(sum(abs(ch)), 0)::DOUBLE AS gross FROM r GROUP BY ALL)"""
 _DECAY = ", ".join(f"round(sum(p{k} + n{k}), 6) + 0.0::DOUBLE AS news_decay_signed_{k}, round(sum(p{k}), 6) AS news_decay_positive_{k}, round(sum(-n{k}), 6) + 0.0::DOUBLE AS news_decay_negative_{k}" for k in D.HALF_LIVES)
@@ -256,20 +253,21 @@ ORACLE = {
     "status_asof": duck("status_versions") + f", {_CUT} SELECT cut, c.market, t, arg_max(state, (effective_from, obs)) AS state, max(effective_from) AS effective_from FROM cuts c LEFT JOIN status_versions s ON c.market = s.market AND first_observed_at < t GROUP BY ALL",
     "contract_asof": duck("status_versions") + f", {_CUT} SELECT cut, c.market, t, arg_max(state, (first_observed_at, obs)) AS state, arg_max(obs, (first_observed_at, obs)) AS obs FROM cuts c LEFT JOIN status_versions s ON c.market = s.market AND first_observed_at < t GROUP BY ALL",
     "book_before": _M + " SELECT decision, m.condition, t, event_id, round(mid, 9) AS mid, round(spread, 9) AS spread FROM moments m ASOF LEFT JOIN books b ON m.condition = b.condition AND m.t > b.ts",
-    "market_series_policy": _M + f", s AS (SELECT condition, ts, 'books' AS source, mid AS price FROM books WHERE event_id % 9 = 0 UNION ALL SELECT condition, ts, 'executions', price FROM fills), h AS (SELECT decision, source, count(*) AS n, avg(price) AS price FROM moments m JOIN s ON m.condition = s.condition AND ts < t AND ts >= t - {BAR} GROUP BY ALL) SELECT decision, source AS source_used, n, round(price, 9) AS price FROM h QUALIFY row_number() OVER (PARTITION BY decision ORDER BY source) = 1",
+    "market_series_policy": _M + f", s AS (SELECT condition, ts, 'books' AS source, mid AS price FROM books UNION ALL SELECT condition, ts, 'executions', price FROM fills), h AS (SELECT decision, source, count(*) AS n, avg(price) AS price FROM moments m JOIN s ON m.condition = s.condition AND ts < t AND ts >= t - {BAR} GROUP BY ALL) SELECT decision, source AS source_used, n, round(price, 9) AS price FROM h QUALIFY row_number() OVER (PARTITION BY decision ORDER BY source) = 1",
     "blocking_gaps": _M + f" SELECT decision, count(*) AS gaps, min(gap_id) AS first_gap FROM moments m JOIN gaps g ON m.condition = g.condition AND NOT resolved AND gap_start < t AND (gap_end IS NULL OR gap_end > t - {DAY}) GROUP BY decision",
     "open_through": duck("status_versions") + f", {_CUT} SELECT cut, c.market, t, coalesce((SELECT arg_max(state, (first_observed_at, obs)) != 'F' FROM status_versions s WHERE s.market = c.market AND first_observed_at <= t), false) AND NOT EXISTS (SELECT 1 FROM status_versions s WHERE s.market = c.market AND state = 'F' AND first_observed_at > t AND first_observed_at <= t + {90 * DAY}) AS open_through FROM cuts c",
     "opportunity_check": _M + f", b AS (SELECT m.*, CASE WHEN t - ts <= 3600 THEN event_id END AS e, CASE WHEN t - ts <= 3600 THEN spread END AS s, EXISTS (SELECT 1 FROM gaps g WHERE g.condition = m.condition AND NOT resolved AND gap_start < t AND (gap_end IS NULL OR gap_end > t - {DAY})) AS g FROM moments m ASOF LEFT JOIN books b ON m.condition = b.condition AND m.t > b.ts) SELECT decision, condition, concat_ws(',', CASE WHEN e IS NULL THEN 'no_book' END, CASE WHEN g THEN 'collector_gap' END, CASE WHEN s > 0.015 THEN 'wide_spread' END) AS reasons, e IS NOT NULL AND NOT g AND NOT coalesce(s > 0.015, false) AS valid FROM b",
-    "position_asof": duck("legs") + f""", {_ACT}, pe AS (SELECT DISTINCT a.record_id, wallet, condition, kind, s, size, price, winner FROM act a WHERE condition <= 20), tt AS (SELECT DISTINCT leg_id, ts FROM legs),
-        n AS (SELECT leg_id, count(*) AS n FROM legs GROUP BY leg_id), e AS (SELECT wallet, condition, ts, kind, s, size, price, winner, n FROM pe JOIN tt ON record_id = tt.leg_id JOIN n ON n.leg_id = record_id),
-        x AS (SELECT wallet, condition, ts, n, CASE kind WHEN 'TRADE' THEN s * size WHEN 'SPLIT' THEN 2 * size WHEN 'MERGE' THEN -2 * size WHEN 'REDEEM' THEN CASE WHEN winner IS NOT NULL THEN -size END END AS tc, CASE kind WHEN 'TRADE' THEN -s * size * price WHEN 'SPLIT' THEN -size WHEN 'MERGE' THEN size WHEN 'REDEEM' THEN CASE WHEN winner IS NOT NULL THEN size END END AS cc FROM e),
-        p AS (SELECT DISTINCT wallet, condition FROM e), d AS (SELECT *, unnest([852076800.0::DOUBLE, 946684800.0::DOUBLE]) AS t FROM p)
-        SELECT d.wallet || ':' || d.condition || ':' || CAST(t AS BIGINT) AS decision_id, round(coalesce(sum(tc * n), 0), 6) + 0.0::DOUBLE AS tokens, round(coalesce(sum(cc * n), 0), 6) + 0.0::DOUBLE AS cash, CAST(coalesce(sum(CASE WHEN x.ts IS NOT NULL AND tc IS NULL THEN n END), 0) AS BIGINT) AS n_unresolved, coalesce(sum(CASE WHEN x.ts IS NOT NULL AND tc IS NULL THEN n END), 0) = 0 AS complete
-        FROM d LEFT JOIN x ON x.wallet = d.wallet AND x.condition = d.condition AND x.ts < t GROUP BY d.wallet, d.condition, t""",
+    "position_asof": duck("legs") + f""", {_ACT}, n AS (SELECT leg_id, count(*) AS n FROM legs GROUP BY leg_id), tt AS (SELECT DISTINCT leg_id, ts FROM legs), d0 AS (SELECT DISTINCT * FROM act),
+        pe AS (SELECT record_id, wallet, asset AS a, CASE kind WHEN 'TRADE' THEN s * size WHEN 'SPLIT' THEN size WHEN 'MERGE' THEN -size WHEN 'REDEEM' THEN CASE WHEN winner IS NOT NULL THEN -size END END AS tc,
+            CASE kind WHEN 'TRADE' THEN -s * size * price WHEN 'SPLIT' THEN -size WHEN 'MERGE' THEN size WHEN 'REDEEM' THEN CASE WHEN winner IS NOT NULL THEN size END END AS cc FROM d0
+            UNION ALL SELECT record_id, wallet, other_asset, CASE kind WHEN 'SPLIT' THEN size ELSE -size END, NULL FROM d0 WHERE kind IN ('SPLIT', 'MERGE')),
+        e AS (SELECT pe.*, ts, n FROM pe JOIN tt ON record_id = tt.leg_id JOIN n ON n.leg_id = record_id), d AS (SELECT *, unnest([852076800.0::DOUBLE, 946684800.0::DOUBLE]) AS t FROM (SELECT DISTINCT wallet FROM e))
+        SELECT d.wallet || ':' || CAST(t AS BIGINT) AS decision_id, a AS asset, round(coalesce(sum(tc * n), 0), 6) + 0.0::DOUBLE AS balance, round(coalesce(sum(cc * n), 0), 6) + 0.0::DOUBLE AS cash, CAST(sum(n) AS BIGINT) AS n_events,
+            CAST(coalesce(sum(CASE WHEN tc IS NULL THEN n END), 0) AS BIGINT) AS n_unresolved, coalesce(sum(CASE WHEN tc IS NULL THEN n END), 0) = 0 AS complete FROM d JOIN e ON e.wallet = d.wallet AND e.ts < t GROUP BY d.wallet, t, a""",
     "reconcile_positions": duck("legs") + """, l AS (SELECT wallet, sum(size * CASE side WHEN 'BUY' THEN 1 ELSE -1 END) AS balance FROM legs WHERE side IS NOT NULL GROUP BY wallet), r AS (SELECT c_custkey AS w, round(c_acctbal, 0) AS size FROM customer WHERE c_custkey % 3 > 0),
         j AS (SELECT *, abs(coalesce(balance, 0) - coalesce(size, 0)) AS e FROM (SELECT * FROM l WHERE abs(balance) > 1e-12) l FULL JOIN r ON wallet = w) SELECT count(*) AS n, count(*) FILTER (e <= 50 + 0.1 * abs(coalesce(size, 0))) AS near, count(*) FILTER (w IS NULL) AS unreported, count(*) FILTER (wallet IS NULL) AS unknown, round(max(e), 6) AS max_error FROM j""",
     "episodes": _EPI + " SELECT wallet, condition, anchor, n_legs, net, gross, round(CASE WHEN gross > 0 THEN abs(net) / gross END, 9) AS ratio, CASE WHEN gross > 0 AND abs(net) / gross >= 0.2 AND net > 0 THEN 'positive' WHEN gross > 0 AND abs(net) / gross >= 0.2 AND net < 0 THEN 'negative' END AS direction FROM ep",
-    "at_risk_grid": _M + f""", b AS (SELECT condition, min(ts) AS a, max(ts) AS z FROM books GROUP BY condition), g AS (SELECT condition, floor(a + {DAY} + k * {BAR}) AS t FROM (SELECT *, unnest(generate_series(0, CAST(floor((z - a - {DAY} - {BAR}) / {BAR}) AS BIGINT))) AS k FROM b)), f AS (SELECT * FROM fills WHERE notional > 60)
+    "at_risk_grid": _M + f""", b AS (SELECT condition, min(ts) AS a, max(ts) AS z FROM books GROUP BY condition), g AS (SELECT condition, floor(a + {DAY} + k * {BAR}) AS t FROM (SELECT *, unnest(generate_series(0, CAST(floor((z - a - {DAY} - {BAR}) / {BAR}) AS BIGINT))) AS k FROM b)), f AS (SELECT * FROM fills)
         SELECT condition, t, CAST(EXISTS (SELECT 1 FROM f WHERE f.condition = g.condition AND ts >= t AND ts < t + {BAR}) AS INT) AS label FROM g WHERE EXISTS (SELECT 1 FROM f WHERE f.condition = g.condition AND ts < t AND t - ts <= {7 * DAY})""",
     "features_base": _EPI + ", l AS (SELECT wallet, ts, CASE WHEN size * (CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) * sign > 0 THEN 1 ELSE 0 END AS pos FROM legs WHERE sign IS NOT NULL AND side IS NOT NULL) SELECT ep.wallet, ep.condition, anchor AS t, round(coalesce(avg(pos), 0.5), 9) AS base_actor_positive_rate, CASE WHEN count(pos) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS base_actor_positive_rate_missing FROM ep LEFT JOIN l ON l.wallet = ep.wallet AND l.ts < anchor GROUP BY ep.wallet, ep.condition, anchor",
     "features_actor": _EPI + f", l AS (SELECT wallet, condition, ts, size, size * (CASE WHEN side = 'BUY' THEN 1 ELSE -1 END) * sign AS ch FROM legs) SELECT ep.wallet, ep.condition, anchor AS t, count(*) FILTER (ts >= anchor - {INTERVAL}) AS act_recent_trade_count, coalesce(sum(size) FILTER (ts >= anchor - {INTERVAL}), 0) AS act_recent_gross_volume, coalesce(sum(ch) FILTER (ts >= anchor - {INTERVAL}), 0) + 0.0::DOUBLE AS act_recent_net_prop_change, count(*) FILTER (l.condition = ep.condition) AS act_category_trade_count, coalesce(anchor - max(ts), {DAY}) AS act_time_since_last_trade, CASE WHEN max(ts) IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS act_time_since_last_trade_missing FROM ep LEFT JOIN l ON l.wallet = ep.wallet AND l.ts < anchor GROUP BY ep.wallet, ep.condition, anchor",

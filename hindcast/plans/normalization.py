@@ -61,7 +61,7 @@ def mappings(spark, sf_dir):
 
 def outcome_sign_asof(spark, sf_dir):
     """The latest mapping at or before each leg."""
-    legs = A.legs(spark, sf_dir).where("asset < 300").select("leg_id", "asset", "ts")
+    legs = A.legs(spark, sf_dir).select("leg_id", "asset", "ts")
     return asof_join(legs, mappings(spark, sf_dir), ["asset"], "ts", "effective_from", ["mapped_sign"], strict=False, order=["o_orderkey"], slice_seconds=90 * 86_400.0).distinct()
 
 
@@ -111,8 +111,9 @@ def import_slice_topn(spark, sf_dir):
 
 
 def import_trades(spark, sf_dir):
-    """Trades of the ten suppliers with smallest keys as taker and maker legs."""
-    legs = A.legs(spark, sf_dir).where("condition <= 10").dropDuplicates(["leg_id"])
+    """Trades of the selected conditions as taker and maker legs."""
+    chosen = F.broadcast(import_slice_topn(spark, sf_dir).select("condition"))  # ten rows
+    legs = A.legs(spark, sf_dir).join(chosen, "condition", "left_semi").dropDuplicates(["leg_id"])
     trades = legs.select(F.col("leg_id").alias("trade_id"), "condition", "ts", "price", (F.col("size") * F.when(F.col("sign") == 1, 1).otherwise(-1)).alias("size"), "side", F.col("asset").alias("maker"), F.col("wallet").alias("taker"))
     return N.split_import(trades)
 
@@ -155,7 +156,7 @@ ORACLE = {
     "expanded_legs": duck("legs") + "SELECT leg_id, wallet, condition, asset, ts, round(CASE sign WHEN 1 THEN price WHEN -1 THEN 1 - price END, 9) AS positive_price, CASE WHEN sign = 1 THEN side WHEN sign = -1 THEN CASE WHEN side = 'BUY' THEN 'SELL' ELSE 'BUY' END END AS positive_side FROM legs",
     "positive_conversion": duck("legs") + "SELECT side, sign, count(*) AS n, round(sum(size * (CASE side WHEN 'BUY' THEN 1 ELSE -1 END) * sign), 6) AS net, round(avg(CASE sign WHEN 1 THEN price ELSE 1 - price END), 6) AS mean_price FROM legs WHERE sign IS NOT NULL AND side IS NOT NULL GROUP BY side, sign",
     "outcome_sign_asof": duck("legs") + """, m AS (SELECT o_orderkey % 300 AS asset, epoch_us(o_orderdate)/1e6 AS effective_from, arg_max(CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE 1 END, o_orderkey) AS mapped_sign FROM orders GROUP BY ALL)
-        SELECT DISTINCT leg_id, l.asset, l.ts, mapped_sign FROM (SELECT * FROM legs WHERE asset < 300) l ASOF LEFT JOIN m ON l.asset = m.asset AND l.ts >= m.effective_from""",
+        SELECT DISTINCT leg_id, l.asset, l.ts, mapped_sign FROM legs l ASOF LEFT JOIN m ON l.asset = m.asset AND l.ts >= m.effective_from""",
     "status_scd2": duck("status_versions") + "SELECT *, row_number() OVER (PARTITION BY market ORDER BY first_observed_at, obs) AS version_seq FROM (SELECT * FROM status_versions WINDOW w AS (PARTITION BY market ORDER BY first_observed_at, obs) QUALIFY lag(state) OVER w IS DISTINCT FROM state)",
     "contract_scd2": duck("status_versions") + ", h AS (SELECT *, sha256(state || '|' || obs % 4) AS content_hash FROM status_versions) SELECT market, first_observed_at, content_hash, row_number() OVER (PARTITION BY market ORDER BY first_observed_at, obs) AS version_seq FROM (SELECT * FROM h WINDOW w AS (PARTITION BY market ORDER BY first_observed_at, obs) QUALIFY lag(content_hash) OVER w IS DISTINCT FROM content_hash)",
     "book_metrics": """WITH b AS (SELECT l_orderkey, max(l_discount) FILTER (l_linestatus = 'O') AS bb, min(1 - l_tax) FILTER (l_linestatus = 'F') AS ba, coalesce(sum(l_quantity) FILTER (l_linestatus = 'O'), 0) AS bd, coalesce(sum(l_quantity) FILTER (l_linestatus = 'F'), 0) AS ad FROM lineitem GROUP BY l_orderkey)
@@ -173,7 +174,7 @@ ORACLE = {
     "state_from_executions": duck("legs", "executions") + f"SELECT condition, floor(ts / {STATE_BUCKET}) * {STATE_BUCKET} + {STATE_BUCKET} AS ts, sum(size) AS volume, round(arg_max(positive_price, (ts, execution_id)), 9) AS positive_price FROM executions GROUP BY condition, floor(ts / {STATE_BUCKET})",
     "state_from_books": duck("books") + "SELECT condition, CAST(floor(ts) AS BIGINT) AS ts, event_id, round(mid, 9) AS positive_price, round(spread, 9) AS spread, depth, round(imbalance, 9) AS imbalance FROM books",
     "import_slice_topn": duck("legs", "executions") + "SELECT condition, sum(size) AS volume, count(*) AS trades, min(ts) AS created FROM executions GROUP BY condition HAVING count(*) >= 10 AND sum(size) BETWEEN 100 AND 1e9 ORDER BY volume DESC, condition LIMIT 10",
-    "import_trades": duck("legs") + """, t AS (SELECT DISTINCT ON (leg_id) leg_id AS trade_id, condition, ts, abs(price) AS price, abs(size) AS size, coalesce(side, 'BUY') AS side, asset AS maker, wallet AS taker FROM legs WHERE condition <= 10), o AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY ts, trade_id) - 1 AS ordinal FROM t)
+    "import_trades": duck("legs", "executions") + """, c AS (SELECT condition FROM executions GROUP BY condition HAVING count(*) >= 10 AND sum(size) BETWEEN 100 AND 1e9 ORDER BY sum(size) DESC, condition LIMIT 10), t AS (SELECT DISTINCT ON (leg_id) leg_id AS trade_id, condition, ts, abs(price) AS price, abs(size) AS size, coalesce(side, 'BUY') AS side, asset AS maker, wallet AS taker FROM legs WHERE condition IN (SELECT condition FROM c)), o AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY ts, trade_id) - 1 AS ordinal FROM t)
         SELECT trade_id, condition, ts, price, size, ordinal, taker AS wallet, side, 'taker' AS role FROM o UNION ALL SELECT trade_id, condition, ts, price, size, ordinal, maker, CASE side WHEN 'BUY' THEN 'SELL' ELSE 'BUY' END, 'maker' FROM o""",
     "top_takers": duck("legs") + "SELECT wallet, count(*) AS trades FROM legs WHERE role = 'taker' GROUP BY wallet ORDER BY trades DESC, wallet LIMIT 20",
     "surface_cursor": duck("books") + ", c AS (SELECT condition, max(ts) AS cursor FROM books WHERE tick IS NOT NULL GROUP BY condition) SELECT *, min(cursor) OVER () AS least, max(cursor) OVER () AS greatest FROM c",

@@ -19,7 +19,7 @@ PENALTY = 1.0
 
 def vectors(spark, sf_dir):
     rows = R.raw_variables(study.bars(spark, sf_dir))
-    return R.stationarize(rows, R.reference_stats(rows))
+    return R.stationarize(rows, R.reference_stats(rows).persist()).persist()
 
 
 def online(spark, sf_dir):

@@ -19,13 +19,14 @@ def rounded(df: DataFrame, digits: int = R) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.build_bars(A.books(spark, sf_dir), A.fills(spark, sf_dir), A.gaps(spark, sf_dir), BAR)
+    """The bars, kept for the session's query, as several of its branches read them."""
+    return B.build_bars(A.books(spark, sf_dir), A.fills(spark, sf_dir), A.gaps(spark, sf_dir), BAR).persist()
 
 
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News arrivals on the books' conditions: the claims of every fifth article, dealt to conditions by family size."""
+    """News arrivals on the books' conditions: those of each article, dealt to conditions by its number."""
     names = ["click", "error", "purchase", "signup", "view"]
-    return A.articles(spark, sf_dir).where("article % 5 = 0").select("article", F.element_at(F.array(*map(F.lit, names)), (F.col("article") / 5 % 5 + 1).cast("int")).alias("condition"), F.col("seen_at").alias("ts"))
+    return A.articles(spark, sf_dir).select("article", F.element_at(F.array(*map(F.lit, names)), (F.col("article") / 5 % 5 + 1).cast("int")).alias("condition"), F.col("seen_at").alias("ts"))
 
 
 def bars_grid(spark, sf_dir):
@@ -101,7 +102,7 @@ bars AS (SELECT g.condition, g.bin AS bin_start, open, high, low, close, rv, coa
       least(1.0::DOUBLE, coalesce(n_books, 0) / 360.0::DOUBLE) AS coverage, coalesce(n_books, 0) >= 4 AND rv IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gaps p WHERE NOT p.resolved AND p.condition = g.condition AND p.gap_start < g.bin + {BAR} AND (p.gap_end IS NULL OR p.gap_end > g.bin)) AS complete
       FROM g LEFT JOIN m ON g.condition = m.condition AND g.bin = m.bin LEFT JOIN s ON g.condition = s.condition AND g.bin = s.bin)"""
 _RET = f"""ret AS (SELECT condition, bin_start, close - b AS ret, close, spread_mean, turnover, rv FROM (SELECT *, lag(close) OVER w AS b, lag(bin_start) OVER w AS l FROM bars WHERE complete WINDOW w AS (PARTITION BY condition ORDER BY bin_start)) WHERE bin_start - l = {BAR})"""
-_ARR = "arr AS (SELECT article, (['click', 'error', 'purchase', 'signup', 'view'])[CAST(floor(article / 5) AS BIGINT) % 5 + 1] AS condition, seen_at AS ts FROM articles WHERE article % 5 = 0)"
+_ARR = "arr AS (SELECT article, (['click', 'error', 'purchase', 'signup', 'view'])[CAST(floor(article / 5) AS BIGINT) % 5 + 1] AS condition, seen_at AS ts FROM articles)"
 _NEWS = f"news AS (SELECT ret.*, CAST(EXISTS (SELECT 1 FROM arr WHERE arr.condition = ret.condition AND floor(arr.ts / {BAR}) * {BAR} = bin_start) AS INT) AS is_news FROM ret)"
 _CLOSE = f"closes AS (SELECT condition, bin_start + {BAR} AS bar_end, close FROM bars WHERE complete)"
 BARS = duck("books", "fills", "gaps", "articles") + ", " + _BARS
