@@ -70,6 +70,22 @@ def append_new(spark: SparkSession, base: str, name: str, rows: DataFrame, first
     new.write.mode("append").parquet(f"{base}/{name}")
 
 
+def exists(spark: SparkSession, base: str, name: str) -> bool:
+    """Whether a table is there, on whatever store base is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def append(spark: SparkSession, base: str, name: str, rows: DataFrame) -> None:
+    append_new(spark, base, name, rows, first=not exists(spark, base, name))
+
+
+def replace_run(spark: SparkSession, base: str, name: str, rows: DataFrame, run: str) -> None:
+    """Replaces what a table holds of the runs that are in rows (column run), and leaves the others: the same run may be
+    written again. The table is kept in a folder for each run, of which only those are overwritten."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(run).parquet(f"{base}/{name}")
+
+
 def known_before(df: DataFrame, name: str, cutoff: float) -> DataFrame:
     """What of a table was available strictly before cutoff; tables without an availability column are refused."""
     at = TABLES[name][2]
