@@ -103,21 +103,22 @@ def trailing(left: DataFrame, right: DataFrame, by: list[str], left_time: str, r
 MANY, COARSE = 32, 512
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float, closed: bool = False) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tuple[str, str], right_span: tuple[str, str], width: float, closed: bool = False, end_of_time: float | None = None) -> DataFrame:
     """Pairs of rows whose spans overlap (right.start < left.end and left.start < right.end; closed: also if they touch).
 
     Both sides are cut into time buckets of a width that should be near the usual length of a left span, so that the join
     is on (keys, level, bucket); long spans of the right side go to a level of wider buckets, in which every left row has
-    its place too. A pair is emitted in the first bucket that both are in, once. A null right end is open. Right spans are
-    cut to the time that the left side covers, so an open one has no more buckets than that. right's columns get the
+    its place too. A pair is emitted in the first bucket that both are in, once. A null right end is open, or ends at
+    end_of_time. Right spans are cut to the time that the left side covers, so an open one has no more buckets than that. right's columns get the
     prefix r_.
     """
     (ls, le), (rs, re_) = left_span, right_span
     number = lambda c, level: F.floor(c / F.when(level == 1, F.lit(float(width * COARSE))).otherwise(F.lit(float(width)))).cast("long")
+    end = lambda c: F.coalesce(c, F.lit(end_of_time)) if end_of_time is not None else c
     cover = left.agg(F.min(ls).alias("__from"), F.max(F.greatest(ls, le)).alias("__to"))
     a = left.withColumn("__level", F.explode(F.array(F.lit(0), F.lit(1))))
     a = a.withColumn("__b", F.explode(F.sequence(number(F.col(ls), F.col("__level")), number(F.greatest(F.col(ls), F.col(le)), F.col("__level")))))
-    b = right.crossJoin(F.broadcast(cover)).withColumns({"__s": F.greatest(F.col(rs), F.col("__from")), "__e": F.least(F.coalesce(F.col(re_), F.col("__to")), F.col("__to"))})
+    b = right.crossJoin(F.broadcast(cover)).withColumns({"__s": F.greatest(F.col(rs), F.col("__from")), "__e": F.least(F.coalesce(end(F.col(re_)), F.col("__to")), F.col("__to"))})
     b = b.where(F.col("__s") <= F.col("__e")).withColumn("__rl", ((F.col("__e") - F.col("__s")) / F.lit(float(width)) > MANY).cast("int"))
     b = b.withColumn("__rb", F.explode(F.sequence(number(F.col("__s"), F.col("__rl")), number(F.col("__e"), F.col("__rl"))))).drop("__from", "__to", "__e")
     b = b.select(*[F.col(c).alias(f"r_{c}") for c in b.columns])
@@ -125,9 +126,9 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], left_span: tu
     for k in by:
         on = on & (F.col(k) == F.col(f"r_{k}"))
     if closed:
-        meet = (F.col(f"r_{rs}") <= F.col(le)) & (F.col(f"r_{re_}").isNull() | (F.col(ls) <= F.col(f"r_{re_}")))
+        meet = (F.col(f"r_{rs}") <= F.col(le)) & (end(F.col(f"r_{re_}")).isNull() | (F.col(ls) <= end(F.col(f"r_{re_}"))))
     else:
-        meet = (F.col(f"r_{rs}") < F.col(le)) & (F.col(f"r_{re_}").isNull() | (F.col(ls) < F.col(f"r_{re_}")))
+        meet = (F.col(f"r_{rs}") < F.col(le)) & (end(F.col(f"r_{re_}")).isNull() | (F.col(ls) < end(F.col(f"r_{re_}"))))
     once = F.col("__b") == F.greatest(number(F.col(ls), F.col("__level")), number(F.col("r___s"), F.col("__level")))
     return a.join(b, on & meet & once).drop("__b", "__level", "r___rb", "r___rl", "r___s")
 

@@ -64,7 +64,8 @@ class Ledger:
         for name, rows in (("collector_runs", [self.run]), ("raw_responses", self.responses), ("collector_gaps", list(self.gaps.values())), ("backfill_windows", list(self.windows.values()))):
             if rows:
                 schema = schemas.schema(name)
-                schemas.append(spark, base, name, spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema))
+                value = lambda r, f: float(r[f.name]) if f.dataType.typeName() == "double" and r.get(f.name) is not None else r.get(f.name)
+                schemas.append(spark, base, name, spark.createDataFrame([tuple(value(r, f) for f in schema) for r in rows], schema))
         self.responses, self.gaps, self.windows = [], {}, {}
 
 
@@ -228,7 +229,7 @@ def feed_items(spark: SparkSession, path: str) -> DataFrame:
     readable date are left out."""
     rows = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string, source string, description string").load(path)
     at = F.unix_seconds(F.coalesce(F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss z")), F.try_to_timestamp(F.regexp_replace("pubDate", r"^\w{3}, ", ""), F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp("pubDate"))).cast("double")
-    rows = rows.select(F.col("link").alias("url"), F.trim("title").alias("headline"), at.alias("published_at"), "source", F.trim(F.regexp_replace("description", r"<[^>]*>", " ")).alias("body"))
+    rows = rows.select(F.col("link").alias("url"), F.trim("title").alias("headline"), at.alias("published_at"), "source", F.trim(F.regexp_replace(F.regexp_replace("description", r"<[^>]*>", " "), r"\s+", " ")).alias("body"))
     return rows.where("headline != '' and published_at is not null")
 
 
