@@ -18,8 +18,12 @@ from hindcast.functions import exprs as X
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of the cluster; a temporary one where none is configured."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="stream-")
+    """A fresh path in the shared folder of the cluster. Where none is set, a temporary one for a master on this machine
+    alone; on a cluster that raises, as no other machine would see it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="stream-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
