@@ -43,7 +43,7 @@ def online_modes(spark, sf_dir):
 
 
 def smoothed_modes(spark, sf_dir):
-    """By dynamic programming; held against exhaustive search in the tests."""
+    """The paths of least cost; held against dynamic programming and exhaustive search in the tests."""
     return R.smoothed_modes(B.segments(vectors(spark, sf_dir), BAR).withColumn("segment", F.col("segment").cast("long")), CENTROIDS, PENALTY)
 
 
@@ -107,6 +107,8 @@ ORACLE = {
     "reference_stats": f"{_S} SELECT level, condition, CAST(hour AS INT) AS hour, variable, n, round(median, 6) AS median, round(iqr, 6) AS iqr FROM stats",
     "stationarize": f"{_S}, {_Z} SELECT condition, bin_start, round(z_spread_ticks, 6) + 0.0::DOUBLE AS z_spread_ticks, round(z_turnover, 6) + 0.0::DOUBLE AS z_turnover, round(z_volatility, 6) + 0.0::DOUBLE AS z_volatility, round(z_best_size, 6) + 0.0::DOUBLE AS z_best_size, traded FROM z",
     "online_modes": f"{_O} SELECT condition, bin_start, mode_online FROM onl",
+    "smoothed_modes": f"""{_O}, sure1 AS (SELECT *, CASE WHEN lead(bin_start) OVER (PARTITION BY condition, segment ORDER BY bin_start) IS NULL THEN CASE WHEN a <= b THEN 0 ELSE 1 END WHEN b - a >= {PENALTY} THEN 0 WHEN b - a < -{PENALTY} THEN 1 END AS sure FROM fwd)
+        SELECT condition, segment, bin_start, first_value(sure IGNORE NULLS) OVER (PARTITION BY condition, segment ORDER BY bin_start ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mode FROM sure1""",
     "mode_durations": f"{_O}, c1 AS (SELECT *, coalesce((mode_online != lag(mode_online) OVER (PARTITION BY condition, segment ORDER BY bin_start))::INT, 1) AS sx FROM onl), g1 AS (SELECT *, sum(sx) OVER (PARTITION BY condition, segment ORDER BY bin_start) AS run FROM c1), l1 AS (SELECT mode_online, count(*) AS n FROM g1 GROUP BY condition, segment, run, mode_online) SELECT mode_online, count(*) AS runs, round(avg(n), 6) AS mean_bars FROM l1 GROUP BY mode_online",
     "impact_screens": f"""{_O}, s1 AS (SELECT arr.*, floor(ts / {BAR}) * {BAR} AS a FROM arr), j1 AS (SELECT s.*, p.label AS pre, m.label AS arrival, n.label AS post FROM s1 s LEFT JOIN onl p ON p.condition = s.condition AND p.bin_start = a - {BAR} LEFT JOIN onl m ON m.condition = s.condition AND m.bin_start = a LEFT JOIN onl n ON n.condition = s.condition AND n.bin_start = a + {BAR}),
         k1 AS (SELECT *, coalesce(pre = 'calm' AND arrival = 'event', false) OR coalesce(arrival = 'calm' AND post = 'event', false) AS jump FROM j1), q1 AS (SELECT *, CASE WHEN ts < {A.START + 2 * 86_400.0} THEN 'model_unavailable' WHEN arrival IS NULL OR (pre IS NULL AND post IS NULL) THEN 'insufficient_coverage' WHEN jump THEN 'screened' WHEN pre IS NOT NULL AND post IS NOT NULL THEN 'screened' ELSE 'partial_coverage' END AS status FROM k1)
@@ -114,4 +116,4 @@ ORACLE = {
     "mode_asof": f"{_O}, {_MOM} SELECT decision, label, round((t - bin_start - {BAR}) / 3600, 6) AS age_hours FROM moments m ASOF LEFT JOIN (SELECT condition, bin_start, label, bin_start + {BAR} AS e FROM onl) o ON m.condition = o.condition AND m.t >= o.e",
     "mode_prevalence": f"{_O}, {_MOM} SELECT decision, round(avg((l = 'event')::INT), 6) AS prevalence, count(*) AS conditions FROM (SELECT decision, o.condition, arg_max(label, bin_start) AS l FROM moments m JOIN onl o ON o.bin_start + {BAR} <= m.t GROUP BY ALL) GROUP BY decision",
 }
-QUERIES = {k: globals()[k] for k in ORACLE} | {"smoothed_modes": smoothed_modes, "jump_model": jump_model}
+QUERIES = {k: globals()[k] for k in ORACLE} | {"jump_model": jump_model}
