@@ -539,6 +539,33 @@ def test_attention_beats_the_word_counts_on_held_out_texts(spark):
     assert sum(x.score for x in out) > sum(x.base_score for x in out) + 0.15 * sum(x.n_tokens for x in out)
 
 
+def test_kinds_come_from_all_learning_texts_and_whole_ones(spark):
+    # What tells the kinds apart comes after 9,000 bytes that all texts share.
+    texts = [b"the same beginning " * 480 + t * 12 for t in two_registers(500)] + [b"", b"abc", "É Tail".encode()]
+    stored = spark.createDataFrame([(bytearray(t), i % 10 == 0) for i, t in enumerate(texts)], "text binary, held_out boolean")
+    found = lm_scoring.found_kinds(stored)
+    learning = [t for i, t in enumerate(texts) if i % 10]
+    by = np.stack([lm_scoring.kinds.of_text(t) for t in learning])
+    assert np.allclose(found.mean, by.mean(0)) and np.allclose(found.axes.T @ np.cov(by.T, bias=True) @ found.axes, np.diag(np.sort(np.linalg.eigvalsh(np.cov(by.T, bias=True)))[::-1][: lm_scoring.kinds.AXES]), atol=1e-9)
+    kind = found.nearest(found.points(by))
+    registers = np.array([i % 2 for i in range(500) if i % 10])
+    assert not set(kind[:450][registers == 0]) & set(kind[:450][registers == 1])
+    pieces = np.bincount([int((int.from_bytes(texts[1].lower()[a : a + 4], "big") * 2654435761 % 2**32) >> 25) for a in range(len(texts[1]) - 3)], minlength=lm_scoring.kinds.BUCKETS)
+    assert np.allclose(by[0] ** 2 * (len(texts[1]) - 3), pieces)
+
+
+def test_every_window_moves_the_weights_and_long_words_keep_their_probability(spark):
+    subwords = lm_scoring.Subwords(lm_scoring.load_ranks(lm_scoring.TOKENIZER))
+    part = laid_part(two_registers(40))
+    words, lengths = part.laid()
+    learner = attention.Learner(attention.initial(subwords.size, 1), 0)
+    learner.learn(words, lengths, *subwords.of(part.words()), len(part.index), np.arange(40) % 2)
+    assert learner.step == -(-sum(-(-lengths // attention.SCORED)) // attention.BATCH) and learner.scored == len(words)
+    got = {x.doc_id: x.score for x in lm_scoring.score_documents(H.docs(spark, [(1, "a b c"), (6, "xq" * 2000), (29, "xq" * 4000)])).collect()}  # 6 and 29 are held out
+    # Probabilities below the smallest number aren't cut off: a word twice as long costs about twice as much.
+    assert got[29] < 1.9 * got[6] < -2000
+
+
 def test_lm_without_learning_documents_and_with_odd_tables(spark):
     alone = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = lm_scoring.score_documents(H.docs(spark, [(alone[0], "a b"), (alone[1], None), (None, "a b"), (alone[0], "a b")])).collect()
