@@ -566,6 +566,25 @@ def test_every_window_moves_the_weights_and_long_words_keep_their_probability(sp
     assert got[29] < 1.9 * got[6] < -2000
 
 
+def test_a_block_is_read_and_priced_in_parts(spark, tmp_path):
+    r = np.random.default_rng(3)
+    words = [b"w%d" % i for i in range(40_000)]
+    made = [(i % 2, w, *map(int, r.integers(0, 3, attention.EXPERTS))) for i, w in enumerate(words)]
+    schema = "block long, word binary, " + ", ".join(f"{c} long" for c in lm_scoring.COUNTS)
+    spark.createDataFrame(sorted(made), schema).coalesce(1).write.parquet(f"{tmp_path}/folder=0")
+    parts = list(lm_scoring.block_words(str(tmp_path), 1, 0))
+    assert max(len(w) for w, _ in parts) <= 1 << 14 and len(parts) > 1
+    got = {w: tuple(c) for ws, cs in parts for w, c in zip(ws, cs.tolist(), strict=True)}
+    assert got == {x[1]: x[2:] for x in made if x[0] == 1}
+    subwords = lm_scoring.Subwords(lm_scoring.load_ranks(lm_scoring.TOKENIZER))
+    empty = attention.Spelling.of(subwords.size, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    model = attention.Model(attention.initial(subwords.size, 1), empty)
+    totals, types = np.full(attention.EXPERTS, 50_000), np.full(attention.EXPERTS, 30_000)
+    scored = lambda parts: lm_scoring.BlockScorer(iter(parts), totals, types, 40_000, model, subwords).score([b"w1 w3 W39999", b""])
+    whole = [([w for ws, _ in parts for w in ws], np.concatenate([c for _, c in parts]))]
+    assert np.allclose(scored(parts), scored(whole)) and np.allclose(scored([*parts, *parts]), scored(whole))
+
+
 def test_lm_without_learning_documents_and_with_odd_tables(spark):
     alone = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:3]
     got = lm_scoring.score_documents(H.docs(spark, [(alone[0], "a b"), (alone[1], None), (None, "a b"), (alone[0], "a b")])).collect()
