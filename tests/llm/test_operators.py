@@ -566,6 +566,15 @@ def test_every_window_moves_the_weights_and_long_words_keep_their_probability(sp
     assert got[29] < 1.9 * got[6] < -2000
 
 
+def test_no_expert_is_without_weight_however_large_the_logits():
+    w = attention.initial(9, 1)
+    w["down_bias"] = np.array([500, -500, *[-300] * (attention.EXPERTS - 2)], np.float32)
+    z = attention.gates(w, w["embed"], np.random.default_rng(5).integers(0, 9, (2, attention.WINDOW)))
+    assert np.allclose(z.sum(2), 1, atol=1e-5) and z.min() > 0
+    w["down_bias"][:] = -500
+    assert np.allclose(attention.gates(w, w["embed"], np.zeros((1, attention.WINDOW), int)), 1 / attention.EXPERTS, atol=1e-5)
+
+
 def test_a_block_is_read_and_priced_in_parts(spark, tmp_path):
     r = np.random.default_rng(3)
     words = [b"w%d" % i for i in range(40_000)]
