@@ -601,6 +601,50 @@ def test_lm_without_learning_documents_and_with_odd_tables(spark):
     assert len({(x.n_tokens, x.score) for x in got if x.n_tokens == 3}) == 1
 
 
+def test_words_are_coded_many_texts_at_a_time_as_one_by_one():
+    r = random.Random(8)
+    texts = [bytes(r.choice(b"aB \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\xc3\xff\x00") for _ in range(r.randint(0, 30))) for _ in range(300)] + [b"", b" ", "É \u00a0x\u2003 y".encode()]
+    words, places, lengths = lm_scoring.coded(texts)
+    assert len(set(words)) == len(words)
+    got = iter([words[p] for p in places])
+    assert [[next(got) for _ in range(k)] for k in lengths] == [lm_scoring.words_of(t) for t in texts]
+    assert next(got, None) is None and [len(x) for x in lm_scoring.coded([])] == [0, 0, 0] and [len(x) for x in lm_scoring.coded([b" "])] == [0, 0, 1]
+    subwords = lm_scoring.Subwords(lm_scoring.load_ranks(lm_scoring.TOKENIZER))
+    plain = [w for w in words_in_two_alphabets() if not lm_scoring.OTHER_SPACE.search(w)]
+    for some in (plain, [*plain, "a\u00a0\u00a0b", "\u2003c"]):
+        ids, n = subwords.encode([w.encode() for w in some])
+        want = [subwords.coder.encode_ordinary(f" {w}") for w in some]
+        assert n.tolist() == [*map(len, want)] and ids.tolist() == [i for x in want for i in x]
+
+
+def words_in_two_alphabets():
+    r = random.Random(9)
+    return ["".join(r.choice("abE'ts0159.,-_éßжя漢") for _ in range(r.randint(1, 12))) for _ in range(2000)]
+
+
+def test_sums_of_groups_equal_plain_sums():
+    r = np.random.default_rng(6)
+    n = np.array([0, 1, 12, 13, 0, 144, 145, 3000, 2, 0])
+    values, rows = r.normal(size=(50, 4)), r.integers(0, 50, int(n.sum()))
+    want = [values[x].sum(axis=0) for x in np.split(rows, np.cumsum(n)[:-1])]
+    assert np.allclose(attention.group_sums(values, rows, n), want)
+    ids = r.integers(0, 30, 500) ** 2
+    for big in (0, 1 << 60):  # too large to be sorted beside their places
+        assert (attention.ordered(ids + big) == np.argsort(ids, kind="stable")).all()
+
+
+def test_counts_are_summed_by_one_shuffle_and_each_word_is_first_once(spark):
+    # A block that two tasks read has the same number of its first part in both.
+    made = [(5, 1, b"a", 1), (5, 1, b"a", 2), (5, 2, b"b", 3), (7, 1, b"a", 4), (7, 1, b"c", 0), (-9, 1, b"b", 5)]
+    schema = "block long, part int, word binary, " + ", ".join(f"{c} int" for c in lm_scoring.COUNTS)
+    words = spark.createDataFrame([(*x[:3], x[3], *[0] * (attention.EXPERTS - 2), 1) for x in made], schema)
+    sums = lm_scoring.with_sums(words)
+    got = sums.collect()
+    assert sorted((x.block, bytes(x.word), x.n0, x.n7) for x in got) == sorted((b, w, {b"a": 7, b"b": 8, b"c": 0}[w], {b"a": 3, b"b": 2, b"c": 1}[w]) for b, _, w, _ in made)
+    assert sorted(bytes(x.word) for x in got if x.first) == [b"a", b"b", b"c"]
+    assert sums._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 # hot groups
 
 
