@@ -99,3 +99,43 @@ SELECT doc_id, count(*) AS n_lines, count(c.r) AS n_removed, coalesce(string_agg
 FROM s LEFT JOIN c ON s.r = c.r AND s.i = c.i GROUP BY s.r, doc_id
 """,
 }
+
+
+def vector_codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4, scale: int = 1024) -> str:
+    """Codebooks by the distance of every part to every entry: three WITH queries for each round."""
+    assigned = """
+a{0} AS MATERIALIZED (SELECT id, p, min(e) FILTER (d = least) AS e, any_value(least) AS d FROM (SELECT *, min(d) OVER (PARTITION BY id, p) AS least FROM (SELECT x.id, x.p, b.e, list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, b.c) + list_inner_product(b.c, b.c) AS d FROM parts x JOIN b{0} b ON x.p = b.p)) GROUP BY id, p)"""
+    moved = """
+s{0} AS (SELECT p, e, k, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM (SELECT a.p, a.e, unnest(x.x) AS v, generate_subscripts(x.x, 1) AS k FROM a{0} a JOIN parts x ON a.id = x.id AND a.p = x.p) GROUP BY p, e, k),
+b{1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{0} b LEFT JOIN (SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY k) AS c FROM s{0} GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+    steps = ",".join(f"{assigned},{moved}".format(r, r + 1) for r in range(rounds)) + "," + assigned.format(rounds)
+    return f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, v) AS id, * FROM (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+parts AS MATERIALIZED (SELECT id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) t(p)),
+b0 AS (SELECT p, id - 1 AS e, x AS c FROM parts WHERE id <= {entries}),{steps},
+h AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, k)) AS codebooks_sha256 FROM (SELECT p, e, unnest(c) AS v, generate_subscripts(c, 1) AS k FROM b{rounds})),
+r AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN r USING (id), h
+"""
+
+
+ORACLE["op12_vector_codes"] = vector_codes_sql()
+
+
+#: CRC-32 of the decimal doc_id, bit by bit; runs from equal three-word sequences q words apart, as a run of four periods and six words has them.
+ORACLE["op11_periodic_runs"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) AS h FROM documents),
+e AS (SELECT *, CAST(len(w) AS BIGINT) AS n, (h // 10) % greatest(len(w), 1) AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
+t AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM f),
+x AS MATERIALIZED (SELECT r, n, i, w[i + 1] AS one, hash(w[i + 1 : i + 3]) AS k FROM (SELECT r, n, w, unnest(range(n)) AS i FROM t)),
+o AS MATERIALIZED (SELECT r, n, i, k FROM x WHERE i < n - 2 QUALIFY count(*) OVER (PARTITION BY r, k) >= 3),
+m AS (SELECT y.r, y.i, z.i - y.i AS q FROM o y JOIN o z ON y.r = z.r AND y.k = z.k AND z.i > y.i AND 4 * (z.i - y.i) <= y.n),
+g AS (SELECT r, q, min(i) AS start, max(i) - min(i) + 3 + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM m) GROUP BY r, q, island),
+u AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM g WHERE length >= greatest(6, 4 * q) GROUP BY r, start, length),
+b AS (SELECT r, count(*) AS n_runs, arg_min(struct_pack(s := start, l := length, p := period), struct_pack(l := -length, s := start, p := period)) AS best, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM u GROUP BY r),
+c AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM u),
+k AS (SELECT x.r, string_agg(one, ' ' ORDER BY x.i) FILTER (c.r IS NULL) AS text FROM x LEFT JOIN c ON x.r = c.r AND x.i = c.i GROUP BY x.r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN b USING (r) LEFT JOIN k USING (r)
+"""

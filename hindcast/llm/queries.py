@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat_formatting, decontamination, html_extraction, line_dedup, lm_scoring, mixing, quality_rules, secret_scan, simhash, warc
+from hindcast.llm import chat_formatting, decontamination, html_extraction, line_dedup, lm_scoring, mixing, periodic_runs, quality_rules, secret_scan, simhash, vector_codes, warc
 from hindcast.llm.common import scratch, table
 
 
@@ -54,4 +54,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_chat_formatting, op5_line_dedup, op6_simhash, op7_lm_scoring, op8_quality_rules, op9_mixing, op10_html_extraction)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = periodic_runs.find_runs(docs, periodic_runs.planted(docs["doc_id"], docs["text"])).withColumn("best", periodic_runs.longest())
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), F.sha2(periodic_runs.run_lines(), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_chat_formatting, op5_line_dedup, op6_simhash, op7_lm_scoring, op8_quality_rules, op9_mixing, op10_html_extraction, op11_periodic_runs, op12_vector_codes)}
