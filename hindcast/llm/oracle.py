@@ -139,3 +139,14 @@ k AS (SELECT x.r, string_agg(one, ' ' ORDER BY x.i) FILTER (c.r IS NULL) AS text
 SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.p AS period, 1000 * best.l // best.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
 FROM t LEFT JOIN b USING (r) LEFT JOIN k USING (r)
 """
+
+ORACLE["op13_minhash"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, array_to_string(w[i : i + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+b AS MATERIALIZED (SELECT y.r, z.r AS o, count(*) AS n FROM s y JOIN s z ON y.x = z.x AND y.r <> z.r GROUP BY ALL),
+l AS MATERIALIZED (SELECT b.r, b.o FROM b JOIN n y ON b.r = y.r JOIN n z ON b.o = z.r WHERE 100 * b.n >= 85 * (y.n + z.n - b.n)),
+c(r, o) AS (SELECT r, r FROM d UNION SELECT c.r, l.o FROM c JOIN l ON c.o = l.r),
+m AS (SELECT c.r, min(d.doc_id) AS component_id FROM c JOIN d ON c.o = d.r GROUP BY c.r)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id IS NOT DISTINCT FROM doc_id AS kept FROM d JOIN m USING (r) LEFT JOIN n USING (r)
+"""

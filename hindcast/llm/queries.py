@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat_formatting, decontamination, html_extraction, line_dedup, lm_scoring, mixing, periodic_runs, quality_rules, secret_scan, simhash, vector_codes, warc
+from hindcast.llm import chat_formatting, decontamination, html_extraction, line_dedup, lm_scoring, minhash, mixing, periodic_runs, quality_rules, secret_scan, simhash, vector_codes, warc
 from hindcast.llm.common import scratch, table
 
 
@@ -64,4 +64,8 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_chat_formatting, op5_line_dedup, op6_simhash, op7_lm_scoring, op8_quality_rules, op9_mixing, op10_html_extraction, op11_periodic_runs, op12_vector_codes)}
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_decontamination, op3_secret_scan, op4_chat_formatting, op5_line_dedup, op6_simhash, op7_lm_scoring, op8_quality_rules, op9_mixing, op10_html_extraction, op11_periodic_runs, op12_vector_codes, op13_minhash)}
