@@ -62,15 +62,6 @@ def blocking_gaps(spark, sf_dir):
     return hit.groupBy("decision").agg(F.count("*").alias("gaps"), F.min("r_gap_id").alias("first_gap"))
 
 
-def open_through(spark, sf_dir):
-    """Whether a market may be held from a cutoff for 90 days: known and open at its start, no closing after, no gap in the status."""
-    horizon = 90 * DAY
-    c = asof_join(cuts(spark, sf_dir), A.status_versions(spark, sf_dir), ["market"], "t", "first_observed_at", ["state", "obs"], strict=False, order=["obs"])
-    bad = A.status_versions(spark, sf_dir).where("state = 'F'").select(F.col("market").alias("m"), F.col("first_observed_at").alias("at"))
-    later = c.join(bad, (F.col("market") == F.col("m")) & (F.col("at") > F.col("t")) & (F.col("at") <= F.col("t") + horizon), "left_semi").select("cut").distinct().withColumn("closes", F.lit(True))
-    return c.join(later, "cut", "left").select("cut", "market", "t", (F.coalesce(F.col("state") != "F", F.lit(False)) & F.col("closes").isNull()).alias("open_through"))
-
-
 def opportunity_check(spark, sf_dir):
     """The reasons against each moment: no book in a day, an open gap in it, a wide spread."""
     rows = moments(spark, sf_dir).join(blocking_gaps(spark, sf_dir), "decision", "left")
@@ -223,17 +214,6 @@ def evidence_flags(spark, sf_dir):
     return rows.select("decision_id", F.array_join(F.array_compact(F.array(F.when(F.col("a"), "recent_relevant_news"), F.when(F.col("b"), "aged_relevant_news"))), ",").alias("flags"))
 
 
-def outcomes_by_horizon(spark, sf_dir):
-    """Of each moment the close before it and near each horizon after it, and whether the outcome is observed."""
-    closes = study.closes(spark, sf_dir)
-    rows = asof_join(moments(spark, sf_dir), closes, ["condition"], "t", "bar_end", ["close"], strict=False, max_age=4 * BAR).withColumnRenamed("close", "c0")
-    rows = rows.withColumn("horizon", F.explode(F.array(F.lit(6), F.lit(24), F.lit(72)))).withColumn("until", F.col("t") + F.col("horizon") * 3600.0)
-    rows = asof_join(rows, closes, ["condition"], "until", "bar_end", ["bar_end", "close"], strict=False, max_age=2 * BAR)
-    seen = F.col("c0").isNotNull() & F.col("close").isNotNull() & (F.col("bar_end") > F.col("t"))
-    status = F.when(F.col("c0").isNull(), "no_start").when(seen, "observed").otherwise("no_close")
-    return rounded(rows.select("decision", "horizon", status.alias("status"), F.when(seen, F.col("close") - F.col("c0")).alias("change")))
-
-
 _CUT = "cuts AS (SELECT o_orderkey AS cut, o_custkey AS market, epoch_us(o_orderdate)/1e6 AS t FROM orders)"
 _MOM = "moments AS (SELECT event_id AS decision, (['click', 'error', 'purchase', 'signup', 'view'])[user_id % 5 + 1] AS condition, floor(epoch_us(ts)/1e6) AS t FROM events WHERE event_type = 'purchase')"
 _TOK = f"list_distinct(list_filter(regexp_extract_all(lower(text), '([a-z0-9'']+)', 1), lambda w: length(w) > 2 AND w NOT IN ({A._STOP})))"
@@ -255,7 +235,6 @@ ORACLE = {
     "book_before": _M + " SELECT decision, m.condition, t, event_id, round(mid, 9) AS mid, round(spread, 9) AS spread FROM moments m ASOF LEFT JOIN books b ON m.condition = b.condition AND m.t > b.ts",
     "market_series_policy": _M + f", s AS (SELECT condition, ts, 'books' AS source, mid AS price FROM books UNION ALL SELECT condition, ts, 'executions', price FROM fills), h AS (SELECT decision, source, count(*) AS n, avg(price) AS price FROM moments m JOIN s ON m.condition = s.condition AND ts < t AND ts >= t - {BAR} GROUP BY ALL) SELECT decision, source AS source_used, n, round(price, 9) AS price FROM h QUALIFY row_number() OVER (PARTITION BY decision ORDER BY source) = 1",
     "blocking_gaps": _M + f" SELECT decision, count(*) AS gaps, min(gap_id) AS first_gap FROM moments m JOIN gaps g ON m.condition = g.condition AND NOT resolved AND gap_start < t AND (gap_end IS NULL OR gap_end > t - {DAY}) GROUP BY decision",
-    "open_through": duck("status_versions") + f", {_CUT} SELECT cut, c.market, t, coalesce((SELECT arg_max(state, (first_observed_at, obs)) != 'F' FROM status_versions s WHERE s.market = c.market AND first_observed_at <= t), false) AND NOT EXISTS (SELECT 1 FROM status_versions s WHERE s.market = c.market AND state = 'F' AND first_observed_at > t AND first_observed_at <= t + {90 * DAY}) AS open_through FROM cuts c",
     "opportunity_check": _M + f", b AS (SELECT m.*, CASE WHEN t - ts <= 3600 THEN event_id END AS e, CASE WHEN t - ts <= 3600 THEN spread END AS s, EXISTS (SELECT 1 FROM gaps g WHERE g.condition = m.condition AND NOT resolved AND gap_start < t AND (gap_end IS NULL OR gap_end > t - {DAY})) AS g FROM moments m ASOF LEFT JOIN books b ON m.condition = b.condition AND m.t > b.ts) SELECT decision, condition, concat_ws(',', CASE WHEN e IS NULL THEN 'no_book' END, CASE WHEN g THEN 'collector_gap' END, CASE WHEN s > 0.015 THEN 'wide_spread' END) AS reasons, e IS NOT NULL AND NOT g AND NOT coalesce(s > 0.015, false) AS valid FROM b",
     "position_asof": duck("legs") + f""", {_ACT}, n AS (SELECT leg_id, count(*) AS n FROM legs GROUP BY leg_id), tt AS (SELECT DISTINCT leg_id, ts FROM legs), d0 AS (SELECT DISTINCT * FROM act),
         pe AS (SELECT record_id, wallet, asset AS a, CASE kind WHEN 'TRADE' THEN s * size WHEN 'SPLIT' THEN size WHEN 'MERGE' THEN -size WHEN 'REDEEM' THEN CASE WHEN winner IS NOT NULL THEN -size END END AS tc,
@@ -280,7 +259,5 @@ ORACLE = {
     "candidate_attribution": _N + """, s AS (SELECT decision_id, family, max(round(0.35 * rel_score + 0.2 * (CASE WHEN direction = 1 THEN 1.0 ELSE 0.0 END) + 0.15 * greatest(0, 1 - (t - seen_at) / 86400) + 0.1 + 0.05 * 0.0 + 0.05 * least(n / 3, 1) + 0.1 * 0.3, 6)) AS score FROM (SELECT *, count(*) OVER (PARTITION BY decision_id, family) AS n FROM snap) GROUP BY ALL),
         k AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nx FROM s WINDOW w AS (PARTITION BY decision_id ORDER BY score DESC, family)) SELECT decision_id, family, score, round(score - nx, 6) AS margin, round(CASE WHEN nx IS NULL THEN score ELSE greatest(0, least(1, 2 * (score - nx) + 0.3)) END, 6) AS confidence FROM k WHERE place = 1""",
     "evidence_flags": _N + " SELECT decision_id, concat_ws(',', CASE WHEN bool_or(t - seen_at < 86400) THEN 'recent_relevant_news' END, CASE WHEN bool_or(t - seen_at >= 86400 AND t - seen_at < 2419200) THEN 'aged_relevant_news' END) AS flags FROM snap GROUP BY decision_id",
-    "outcomes_by_horizon": study.FULL + f""", {_MOM}, o AS (SELECT m.*, h, (SELECT arg_max(close, bar_end) FROM closes c WHERE c.condition = m.condition AND bar_end <= t AND t - bar_end <= {4 * BAR}) AS c0, (SELECT max(bar_end) FROM closes c WHERE c.condition = m.condition AND bar_end <= t + h * 3600 AND t + h * 3600 - bar_end <= {2 * BAR}) AS e FROM moments m, unnest([6, 24, 72]) AS u(h)),
-        q AS (SELECT o.*, c.close FROM o LEFT JOIN closes c ON c.condition = o.condition AND c.bar_end = o.e) SELECT decision, CAST(h AS INT) AS horizon, CASE WHEN c0 IS NULL THEN 'no_start' WHEN close IS NOT NULL AND e > t THEN 'observed' ELSE 'no_close' END AS status, CASE WHEN c0 IS NOT NULL AND close IS NOT NULL AND e > t THEN round(close - c0, 9) + 0.0::DOUBLE END AS change FROM q""",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}

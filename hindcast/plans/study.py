@@ -74,17 +74,6 @@ def close_near_target(spark, sf_dir):
     return rounded(near.groupBy("article", "condition", "ts").agg(best.alias("b")).select("article", "condition", "ts", F.col("b.r_bar_end").alias("bar_end"), F.col("b.r_close").alias("close")))
 
 
-def event_absorption(spark, sf_dir):
-    """Of each arrival the response within a bar and that within a day, and the share already absorbed."""
-    news = arrivals(spark, sf_dir).withColumns({"t1": F.col("ts") + BAR, "t2": F.col("ts") + 86_400})
-    take = ["close"]
-    rows = news
-    for time, name in (("ts", "c0"), ("t1", "c1"), ("t2", "c2")):
-        rows = asof_join(rows, closes(spark, sf_dir), ["condition"], time, "bar_end", take, strict=False, max_age=2 * BAR).withColumnRenamed("close", name)
-    early, total = F.col("c1") - F.col("c0"), F.col("c2") - F.col("c0")
-    return rounded(rows.select("article", "condition", "ts", early.alias("early"), total.alias("total"), F.when(F.abs(total) > 1e-9, early / total).alias("absorbed")), 6)
-
-
 def distraction_proxies(spark, sf_dir):
     """Of each day the claims and families that appear, whether it is a weekend, and the day's share of all claims."""
     rows = A.claims(spark, sf_dir).groupBy(X.utc_day("seen_at").alias("day")).agg(F.count("*").alias("claims"), F.countDistinct("family").alias("families"), F.countDistinct("source").alias("sources"))
@@ -123,9 +112,6 @@ ORACLE = {
     "segments_of_bars": f"{FULL} SELECT condition, segment, min(bin_start) AS first_bin, max(bin_start) AS last_bin, count(*) AS n FROM (SELECT *, CAST(sum(st) OVER (PARTITION BY condition ORDER BY bin_start) AS BIGINT) AS segment FROM (SELECT *, coalesce((bin_start - lag(bin_start) OVER (PARTITION BY condition ORDER BY bin_start) != {BAR})::INT, 1) AS st FROM bars WHERE complete)) GROUP BY ALL",
     "close_asof": f"{FULL} SELECT article, arr.condition, arr.ts, CASE WHEN arr.ts - bar_end <= {2 * BAR} THEN bar_end END AS bar_end, CASE WHEN arr.ts - bar_end <= {2 * BAR} THEN round(close, 9) END AS close FROM arr ASOF LEFT JOIN closes c ON arr.condition = c.condition AND arr.ts >= c.bar_end",
     "close_near_target": f"{FULL} SELECT article, condition, ts, bar_end, round(close, 9) AS close FROM (SELECT article, arr.condition, arr.ts, bar_end, close, row_number() OVER (PARTITION BY article ORDER BY abs(bar_end - arr.ts - 86400), bar_end DESC) AS k FROM arr JOIN closes c ON arr.condition = c.condition AND abs(bar_end - arr.ts - 86400) <= {BAR}) WHERE k = 1",
-    "event_absorption": f"""{FULL}, e AS (SELECT article, arr.condition, arr.ts, (SELECT arg_max(close, bar_end) FROM closes c WHERE c.condition = arr.condition AND bar_end <= arr.ts AND arr.ts - bar_end <= {2 * BAR}) AS c0,
-        (SELECT arg_max(close, bar_end) FROM closes c WHERE c.condition = arr.condition AND bar_end <= arr.ts + {BAR} AND arr.ts + {BAR} - bar_end <= {2 * BAR}) AS c1, (SELECT arg_max(close, bar_end) FROM closes c WHERE c.condition = arr.condition AND bar_end <= arr.ts + 86400 AND arr.ts + 86400 - bar_end <= {2 * BAR}) AS c2 FROM arr)
-        SELECT article, condition, ts, round(c1 - c0, 6) + 0.0::DOUBLE AS early, round(c2 - c0, 6) + 0.0::DOUBLE AS total, round(CASE WHEN abs(c2 - c0) > 1e-9 THEN (c1 - c0) / (c2 - c0) END, 6) + 0.0::DOUBLE AS absorbed FROM e""",
     "distraction_proxies": duck("articles", "claims") + "SELECT CAST(floor(seen_at / 86400) AS BIGINT) AS day, count(*) AS claims, count(DISTINCT family) AS families, count(DISTINCT source) AS sources, (CAST(floor(seen_at / 86400) AS BIGINT) + 3) % 7 >= 5 AS weekend, round(ln(1 + count(*)), 9) AS log_claims FROM claims GROUP BY ALL",
 }
 QUERIES = {k: globals()[k] for k in ORACLE}

@@ -9,6 +9,8 @@ from hindcast.functions import exprs as X
 
 START = 1_704_067_200.0  # 2024-01-01, when the events begin
 BAR = 21_600.0
+DAY = 86_400.0
+WEEK = 7 * DAY
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +57,22 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("event_id").alias("gap_id"), F.col("event_type").alias("condition"), t.alias("gap_start"), F.when(F.col("event_id") % 50 != 0, t + 3600).alias("gap_end"), (F.col("event_id") % 4 == 0).alias("resolved"))
 
 
+def _firsts(spark: SparkSession, sf_dir: str, seconds: float) -> DataFrame:
+    """The first event of each condition in each span of so many seconds since START."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("condition"), X.epoch("ts").alias("ts"), "value", "event_id")
+    return rows.groupBy("condition", F.floor((F.col("ts") - START) / seconds).alias("span")).agg(F.min(F.struct("ts", "event_id", "value")).alias("e")).select("condition", F.col("e.ts").alias("effective_from"), F.col("e.value").alias("value"))
+
+
+def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of the books' conditions, set by each day's first event: one worth more than 60 halts trading."""
+    return _firsts(spark, sf_dir, DAY).select("condition", "effective_from", (F.col("value") > 60).alias("blocking"))
+
+
+def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract versions of the books' conditions: one with each week's first event; views resolve 27 days after START."""
+    return _firsts(spark, sf_dir, WEEK).select("condition", "effective_from", F.when(F.col("condition") == "view", START + 27 * DAY).alias("resolution_time"))
+
+
 def status_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of a customer's latest order status, by time."""
     return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("market"), X.epoch("o_orderdate").alias("effective_from"), (X.epoch("o_orderdate") + (F.col("o_orderkey") % 5) * 86400).alias("first_observed_at"), F.col("o_orderstatus").alias("state"), F.col("o_orderkey").alias("obs"))
@@ -85,6 +103,8 @@ DUCK = {
         value / (value + 35) AS mid, 0.01::DOUBLE + event_id % 5 * 0.002::DOUBLE AS spread, CAST(user_id % 50 + 1 AS DOUBLE) AS bid_size, CAST(event_id % 40 + 1 AS DOUBLE) AS ask_size, CASE WHEN event_id % 7 > 0 THEN 0.001::DOUBLE END AS tick FROM events))""",
     "fills": f"fills AS (SELECT event_id, event_type AS condition, {_EPOCH.format('ts')} AS ts, round(value, 2) AS notional, value / (value + 35) AS price FROM events WHERE event_id % 3 = 0)",
     "gaps": f"gaps AS (SELECT event_id AS gap_id, event_type AS condition, {_EPOCH.format('ts')} AS gap_start, CASE WHEN event_id % 50 != 0 THEN {_EPOCH.format('ts')} + 3600 END AS gap_end, event_id % 4 = 0 AS resolved FROM events WHERE value > 150)",
+    "statuses": f"statuses AS (SELECT condition, min(ts) AS effective_from, arg_min(value, (ts, event_id)) > 60 AS blocking FROM (SELECT event_type AS condition, event_id, value, {_EPOCH.format('ts')} AS ts FROM events) GROUP BY condition, floor((ts - {START}) / {DAY}))",
+    "contracts": f"contracts AS (SELECT condition, min(ts) AS effective_from, CASE WHEN condition = 'view' THEN {START + 27 * DAY}::DOUBLE END AS resolution_time FROM (SELECT event_type AS condition, {_EPOCH.format('ts')} AS ts FROM events) GROUP BY condition, floor((ts - {START}) / {WEEK}))",
     "status_versions": f"status_versions AS (SELECT o_custkey AS market, {_EPOCH.format('o_orderdate')} AS effective_from, {_EPOCH.format('o_orderdate')} + (o_orderkey % 5) * 86400 AS first_observed_at, o_orderstatus AS state, o_orderkey AS obs FROM orders)",
     "articles": "articles AS (SELECT doc_id AS article, 1704067200.0::DOUBLE + doc_id % 1000 * 2592.0::DOUBLE AS seen_at, lang, source, text FROM documents)",
     "claims": rf"""claims AS (SELECT article, seen_at, source, claim, entities, words, CASE WHEN len(entities) > 0 THEN array_to_string(list_sort(list_distinct(list_transform(entities, lambda x: lower(x))))[1:4], '|') WHEN len(words) > 0 THEN array_to_string(list_sort(words)[1:4], '|') ELSE 'misc' END AS family
