@@ -2,7 +2,7 @@
 
 A decision that looks at a dozen tables of the same key would need a dozen as-of joins. Here all surfaces and the
 probes into them (the times at which a row of the left side looks) form one table, and one window carries, for each
-surface, the last row, running sums and running maxima. Keys are cut into slices of time; what a slice ends with is
+surface, the last row, the next one, running sums and running maxima. Keys are cut into slices of time; what a slice ends with is
 summed up by key and carried over the following ones, so a hot key is dealt over as many tasks as it has slices. The
 plan has one exchange of the rows by (key, slice), a small one for what the slices end with, and, for several probes of one row, one to
 bring them together again. A sum over a span is the difference of two probes: running sums of whole numbers and
@@ -18,19 +18,18 @@ from pyspark.sql import functions as F
 
 from hindcast.operators.asof import SLICE
 
-#: Sums of measured numbers are kept in this type, so that a difference of two running sums is exact.
-EXACT = "decimal(38,9)"
 
 
 @dataclass(frozen=True)
 class Surface:
-    """rows (with the key columns) that become known at time. last: columns of the latest row, by time and then order;
-    sums and highest: names and numbers of each row that are summed and of which the maximum is kept."""
+    """rows (with the key columns) that become known at time. last: columns of the latest row, by time and then order; ahead:
+    columns of the first row that isn't known yet, for spans that begin at a probe; sums and highest: names and numbers of each row that are summed and of which the maximum is kept."""
 
     name: str
     rows: DataFrame
     time: str
     last: tuple[str, ...] = ()
+    ahead: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
     sums: dict[str, Column] = field(default_factory=dict)
     highest: dict[str, Column] = field(default_factory=dict)
@@ -45,12 +44,13 @@ class Probe:
     strict: bool = True
 
 
-def exact(x: Column) -> Column:
-    return x.cast(EXACT)
+def exact(x: Column, digits: int = 9) -> Column:
+    """A measured number as a decimal, so that a difference of two running sums is exact."""
+    return x.cast(f"decimal(38,{digits})")
 
 
 def read_surfaces(left: DataFrame, by: list[str], ident: list[str], probes: list[Probe], surfaces: list[Surface], slice_seconds: float = SLICE) -> DataFrame:
-    """left with a struct <surface>_<probe> for each surface and probe, with the fields last (a struct, with __at, its time), and
+    """left with a struct <surface>_<probe> for each surface and probe, with the fields last and ahead (structs, with __at, their time), and
     each name of sums (0 without rows) and highest (null without rows).
 
     ident: columns that tell the rows of left apart. by: key columns that left and every surface have. Rows of left
@@ -62,7 +62,8 @@ def read_surfaces(left: DataFrame, by: list[str], ident: list[str], probes: list
     at = left.select(F.struct(*left.columns).alias("l"), key, F.explode(looks).alias("p")).select("l", "k", "p.*")
     both = at
     for i, s in enumerate(surfaces):
-        columns = {f"v{i}": F.struct(F.col(s.time).cast("double").alias("__at"), *s.last), f"o{i}": F.struct(*s.order) if s.order else None}
+        value = lambda names, time=s.time: F.struct(F.col(time).cast("double").alias("__at"), *names)
+        columns = {f"v{i}": value(s.last), f"a{i}": value(s.ahead) if s.ahead else None, f"o{i}": F.struct(*s.order) if s.order else None}
         columns |= {f"s{i}_{n}": c for n, c in s.sums.items()} | {f"h{i}_{n}": c for n, c in s.highest.items()}
         rows = s.rows.where(F.col(s.time).isNotNull()).select(key, F.col(s.time).cast("double").alias("t"), F.lit(1).alias("side"), *[c.alias(n) for n, c in columns.items() if c is not None])
         both = both.unionByName(rows, allowMissingColumns=True)
@@ -70,6 +71,8 @@ def read_surfaces(left: DataFrame, by: list[str], ident: list[str], probes: list
     parts = ["k", "slice"]
     ordered = [f"o{i}" for i, s in enumerate(surfaces) if s.order]
     run = Window.partitionBy(*parts).orderBy("t", "side", *ordered).rowsBetween(Window.unboundedPreceding, 0)
+    rest = run.rowsBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("k").orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
     before = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     own, ends, carry, values = {}, [], {}, {}
     for i, s in enumerate(surfaces):
@@ -78,6 +81,11 @@ def read_surfaces(left: DataFrame, by: list[str], ident: list[str], probes: list
         ends.append(F.max_by(f"v{i}", rank).alias(f"v{i}"))
         carry[f"v{i}"] = F.last(f"v{i}", ignorenulls=True).over(before)
         fields = [F.coalesce(f"v{i}", f"c_v{i}").alias("last")]
+        if s.ahead:
+            own[f"a{i}"] = F.first(f"a{i}", ignorenulls=True).over(rest)
+            ends.append(F.min_by(f"a{i}", rank).alias(f"a{i}"))
+            carry[f"a{i}"] = F.first(f"a{i}", ignorenulls=True).over(later)
+            fields.append(F.coalesce(f"a{i}", f"c_a{i}").alias("ahead"))
         for n in s.sums:
             c = f"s{i}_{n}"
             own[c] = F.sum(c).over(run)
