@@ -120,18 +120,21 @@ def predict(model: dict) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
 
 
-def folds(df: DataFrame, time: str, tie: str, k: int) -> DataFrame:
-    """df with fold: k chronological blocks, the first n % k with a row more, as array_split cuts.
-
-    The rank over all rows comes from counts of time slices, so that no task sorts everything.
-    """
+def ranked(df: DataFrame, time: str, tie: str) -> DataFrame:
+    """df with __r, the place of each row by time, then tie, from 0, and __all, how many rows there are; from counts of time
+    slices, so that no task sorts everything."""
     slices = df.withColumn("__slice", F.floor(F.col(time) / 86_400))
     counts = slices.groupBy("__slice").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy()))
     rank = F.row_number().over(Window.partitionBy("__slice").orderBy(time, tie)) - 1 + F.col("__before")
+    return slices.join(before, "__slice").withColumn("__r", rank).drop("__slice", "__n", "__before")
+
+
+def folds(df: DataFrame, time: str, tie: str, k: int) -> DataFrame:
+    """df with fold: k chronological blocks, the first n % k with a row more, as array_split cuts."""
     base, more = F.floor(F.col("__all") / k), F.col("__all") % k
     fold = F.when(F.col("__r") < more * (base + 1), F.floor(F.col("__r") / (base + 1))).otherwise(more + F.floor((F.col("__r") - more * (base + 1)) / F.greatest(base, F.lit(1))))
-    return slices.join(before, "__slice").withColumn("__r", rank).withColumn("fold", fold.cast("int")).drop("__slice", "__n", "__before", "__all", "__r")
+    return ranked(df, time, tie).withColumn("fold", fold.cast("int")).drop("__all", "__r")
 
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 500, seed: int = 1) -> dict:
