@@ -1,11 +1,12 @@
 """Estimation by sufficient statistics: Spark sums, the driver solves systems of a few unknowns.
 
-Nothing that grows with the rows reaches the driver: Gram matrices, per-cluster and per-day sums do. The number of
-clusters bounds the bootstraps.
+Nothing that grows with the rows or the clusters reaches the driver: Gram matrices, sums by draw and by calendar day do.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -137,48 +138,85 @@ def folds(df: DataFrame, time: str, tie: str, k: int) -> DataFrame:
     return ranked(df, time, tie).withColumn("fold", fold.cast("int")).drop("__all", "__r")
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 500, seed: int = 1) -> dict:
-    """Percentile interval of the mean of value, clusters resampled; the driver gets a sum and a count for each cluster."""
-    rows = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")).orderBy(cluster).collect()
-    s, n = np.array([r["s"] for r in rows], float), np.array([r["n"] for r in rows], float)
-    r = np.random.default_rng(seed)
-    pick = r.integers(0, len(s), (draws, len(s)))
-    means = s[pick].sum(1) / n[pick].sum(1)
-    return {"mean": float(s.sum() / n.sum()), "low": float(np.quantile(means, 0.025)), "high": float(np.quantile(means, 0.975)), "clusters": len(s)}
+#: Poisson(1)'s distribution function in eighths of a digest, and how many draws one digest serves.
+_POISSON = [f"{int(2**32 * sum(np.exp(-1) / math.factorial(i) for i in range(k + 1))):08x}" for k in range(12)]
+_PARTS = 4
+
+
+def drawn(clusters: DataFrame, key: str, draws: int, seed: str) -> DataFrame:
+    """clusters with a row for each draw and hex, eight digits of a digest of the seed, the key and the draw. A draw's weight of a
+    cluster follows from it alone, so tasks sum their clusters' parts and no cluster reaches the driver."""
+    blocks = clusters.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(-(-draws // _PARTS) - 1))))
+    blocks = blocks.withColumn("__md5", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("__block").cast("string"))))
+    parts = F.array(*[F.struct((F.col("__block") * _PARTS + i).alias("draw"), F.substring("__md5", 1 + 8 * i, 8).alias("hex")) for i in range(_PARTS)])
+    return blocks.select(*clusters.columns, F.explode(parts).alias("__p")).select(*clusters.columns, "__p.draw", "__p.hex").where(F.col("draw") < draws)
+
+
+def poisson(hex_: Column) -> Column:
+    """How often a cluster is drawn: a Poisson(1) number."""
+    return sum(((hex_ >= x).cast("int") for x in _POISSON), F.lit(0))
 
 
-def moving_block_bootstrap(s: np.ndarray, n: np.ndarray, block: int, draws: int = 200, seed: int = 1) -> float:
-    """The standard error of a mean from sums and counts of consecutive days, resampled in blocks; nan for fewer than two blocks."""
-    if len(s) < 2 * block:
-        return float("nan")
-    r, starts = np.random.default_rng(seed), len(s) - block + 1
-    pick = (r.integers(0, starts, (draws, -(-len(s) // block)))[:, :, None] + np.arange(block)).reshape(draws, -1)[:, : len(s)]
-    return float((s[pick].sum(1) / n[pick].sum(1)).std(ddof=1))
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int = 500, seed: str = "boot") -> DataFrame:
+    """mean, low, high (percentiles 2.5 and 97.5 of the draws' means) and clusters, one row: whole clusters are resampled, each with a
+    hashed Poisson(1) weight for each draw. Draws that take no value don't count; without values all is null."""
+    by = df.groupBy(F.col(cluster).alias("g")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    each = drawn(by.where("n > 0"), "g", draws, seed).withColumn("w", poisson(F.col("hex")))
+    means = each.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+    ends = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    whole = by.agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.count("*").alias("clusters"))
+    return whole.crossJoin(ends).select("mean", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), "clusters")  # one row each
 
 
-def wild_cluster_p(df: DataFrame, xs: list[str], y: str, test: int, cluster: str, draws: int = 499, seed: int = 1) -> float:
-    """The p-value of coefficient test by Rademacher draws with the null imposed, from the clusters' sums."""
+def moving_block_bootstrap(df: DataFrame, xs: list[str], y: str, test: int, day: str, block: int, draws: int = 200, seed: int = 7) -> dict | None:
+    """Standard error and percentile interval of coefficient test when days are resampled in blocks of consecutive days; None for fewer
+    than two blocks of days. A day's Gram matrix is all that a draw needs of it, and days are few."""
     k = len(xs) + 1
-    rows = df.groupBy(cluster).agg(*gram(xs, y)).orderBy(cluster).collect()
+    rows = df.groupBy(F.col(day).alias("d")).agg(*gram(xs, y)).orderBy("d").collect()  # one for each calendar day
+    days = np.array([r["d"] for r in rows], np.int64)
+    if len(days) < 2 * block:
+        return None
     mats = [_matrices(r, k) for r in rows]
-    a = sum(m[0] for m in mats)
-    bread = np.linalg.pinv(a)
+    a, b = np.array([m[0] for m in mats]), np.array([m[1] for m in mats])
+    r, starts, found = np.random.default_rng(seed), days[: max(1, len(days) - block + 1)], []
+    for _ in range(draws):
+        covered = (r.choice(starts, -(-len(days) // block))[:, None] + np.arange(block)).ravel()
+        times = np.array([np.count_nonzero(covered == d) for d in days])
+        found.append((np.linalg.pinv(np.tensordot(times, a, 1)) @ (times @ b))[test])
+    return {"se": float(np.std(found, ddof=1)), "low": float(np.percentile(found, 2.5)), "high": float(np.percentile(found, 97.5)), "draws": draws, "block": block}
+
+
+def wild_cluster_p(df: DataFrame, xs: list[str], y: str, test: int, cluster: str, draws: int = 499, seed: str = "wild") -> float:
+    """The p-value of coefficient test by Rademacher draws with the null imposed; signs are hashed, see drawn().
+
+    Each cluster keeps its score s and its products with the test's row c of the bread, a = c's and q = c'A. A first pass sums the
+    signed scores of each draw, which give its coefficients; a second one the squares of what is left, (sign a - q m)^2. Only draws x
+    coefficients numbers reach the driver.
+    """
+    k = len(xs) + 1
+    by = df.groupBy(F.col(cluster).alias("g")).agg(*gram(xs, y))
+    sums = by.agg(*[F.sum(c).alias(c) for c in by.columns[1:]]).first()
+    a, total = _matrices(sums, k)
+    bread, null = np.linalg.pinv(a), np.zeros(k)
     keep = [i for i in range(k) if i != test]
-    total = sum(m[1] for m in mats)
-    null = np.zeros(k)
     null[keep] = np.linalg.pinv(a[np.ix_(keep, keep)]) @ total[keep]
-    scores = np.array([m[1] - m[0] @ null for m in mats])
-    crosses = np.array([m[0] for m in mats])
-
-    def t(sign: np.ndarray) -> float:
-        s = scores * sign[:, None]
-        move = bread @ s.sum(0)
-        left = s - crosses @ move
-        v = bread @ (left.T @ left) @ bread
-        return abs(move[test]) / np.sqrt(max(v[test, test], 1e-300))
-
-    r, own = np.random.default_rng(seed), t(np.ones(len(rows)))
-    return (sum(t(r.choice([-1.0, 1.0], len(rows))) >= own for _ in range(draws)) + 1) / (draws + 1)
+    dot = lambda cs, xs: sum((float(c) * x for c, x in zip(cs, xs, strict=True)), F.lit(0.0))
+    cell = lambda i, j: F.col(f"xx_{min(i, j)}_{max(i, j)}")
+    scores = [F.col(f"xy_{i}") - dot(null, [cell(i, j) for j in range(k)]) for i in range(k)]
+    rows = by.select("g", *[x.alias(f"s{i}") for i, x in enumerate(scores)], *[dot(bread[test], [cell(i, j) for i in range(k)]).alias(f"q{j}") for j in range(k)])
+    rows = rows.withColumn("a", dot(bread[test], [F.col(f"s{i}") for i in range(k)]))
+    # Draw -1 is the data itself.
+    signed = drawn(rows, "g", draws, seed).withColumn("e", F.when(F.col("hex") < "8", -1.0).otherwise(1.0)).drop("hex")
+    signed = signed.unionByName(rows.withColumns({"draw": F.lit(-1), "e": F.lit(1.0)}))
+    moved = signed.groupBy("draw").agg(*[F.sum(F.col("e") * F.col(f"s{i}")).alias(f"s{i}") for i in range(k)]).toPandas()
+    m = moved[[f"s{i}" for i in range(k)]].to_numpy() @ bread
+    moves = df.sparkSession.createDataFrame([(int(d), *map(float, v)) for d, v in zip(moved["draw"], m, strict=True)], "d int, " + ", ".join(f"m{i} double" for i in range(k)))
+    left = signed.join(F.broadcast(moves), F.col("draw") == F.col("d"))  # a row for each draw
+    rest = F.col("e") * F.col("a") - sum((F.col(f"q{i}") * F.col(f"m{i}") for i in range(k)), F.lit(0.0))
+    made = left.groupBy("draw").agg(F.sum(rest * rest).alias("v"), F.first(f"m{test}").alias("m")).toPandas()
+    t = dict(zip(made["draw"], np.abs(made["m"]) / np.sqrt(np.maximum(made["v"], 1e-300)), strict=True))
+    own = t.pop(-1)
+    return (sum(x >= own for x in t.values()) + 1) / (draws + 1)
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hindcast.functions import exprs as X
-from hindcast.operators import censor
+from hindcast.operators import bars as B
+from hindcast.operators import censor, drift
 from hindcast.operators import outcomes as O
+from hindcast.operators.lineage import stored
 from hindcast.plans import study
 from hindcast.plans.decision_plans import _MOM, cuts, moments
 from hindcast.plans.study import FULL, rounded
@@ -44,6 +46,27 @@ def outcomes_by_horizon(spark, sf_dir):
     return rounded(made.select("decision", (F.col("horizon") / 3600).cast("int").alias("horizon"), "status", "reasons", "drift", "same_direction"))
 
 
+HORIZONS = (BAR, 2 * BAR, DAY, 3 * DAY, 7 * DAY)
+
+
+def _observations(spark, sf_dir):
+    bars = stored(study.bars(spark, sf_dir), "bars")
+    returns = B.trailing_volatility(B.interval_returns(bars, BAR))
+    records = stored(B.with_news(returns, study.arrivals(spark, sf_dir), BAR), "records")
+    closes = bars.where("complete").select("condition", (F.col("bin_start") + BAR).alias("bar_end"), "close")
+    return stored(drift.observations(records, closes, *_lifecycle(spark, sf_dir), BAR, HORIZONS), "observations")
+
+
+def drift_moments(spark, sf_dir):
+    """For each horizon and status the observations, and sums of the products that the regressions are made of."""
+    rows, c = _observations(spark, sf_dir), F.col
+    return rounded(rows.groupBy((c("horizon") / 3600).cast("int").alias("hours"), "status").agg(F.count("*").alias("n"), *[F.sum(c(a) * c(b)).alias(f"{a}_{b}") for a, b in (("y", "r_news"), ("y", "r_nonnews"), ("r_news", "r_news"), ("close", "distance"), ("spread", "log_turnover"), ("vol", "log_left"))], F.sum("left_missing").alias("left_missing")), 6)
+
+
+def drift_regressions(spark, sf_dir):
+    return rounded(drift.drift_regressions(_observations(spark, sf_dir), HORIZONS), 9)
+
+
 def _censored(windows: str, key: str, start: str, end: str, statuses: str, versions: str, gaps: str) -> str:
     """A query of the windows with reasons, each by its own subquery."""
     at = lambda t: f"s.{key} = w.{key} AND effective_from {t}"
@@ -68,5 +91,10 @@ ORACLE = {
         w1 AS (SELECT *, t + h * 3600 AS until FROM w0, unnest([{int(BAR // 3600)}, 24, 72]) AS u(h)), w2 AS (SELECT *, CASE WHEN x0 IS NOT NULL THEN {_NEAR.format(target='w1.until', w='w1', bar=BAR, after='w1.x0.e')} END AS x1 FROM w1),
         w3 AS (SELECT *, CASE WHEN x0 IS NULL THEN 'no_base_close' WHEN reasons != '' THEN 'censored' WHEN x1 IS NULL THEN 'stale_endpoint' ELSE 'observed' END AS status FROM ({_censored('w2', 'condition', 't', 'until', 'statuses', 'contracts', 'gaps')})), w4 AS (SELECT *, CASE WHEN status = 'observed' THEN x1.c - x0.c END AS drift FROM w3)
         SELECT decision, CAST(h AS INT) AS horizon, status, reasons, round(drift, 9) + 0.0::DOUBLE AS drift, direction * drift > 0 AS same_direction FROM w4""",
+    "drift_moments": f"""{_LIFE}, v0 AS (SELECT ret.*, CASE WHEN count(ret) OVER w >= 2 THEN stddev_samp(ret) OVER w ELSE 0 END AS vol, EXISTS (SELECT 1 FROM arr WHERE arr.condition = ret.condition AND floor(arr.ts / {BAR}) * {BAR} = bin_start) AS hit FROM ret WINDOW w AS (PARTITION BY condition ORDER BY bin_start ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+        w0 AS (SELECT *, bin_start + {BAR} AS ends, bin_start + {BAR} + h AS until, (SELECT arg_max(struct_pack(e := bar_end, c := close), bar_end) FROM closes c WHERE c.condition = v0.condition AND bar_end <= bin_start + {BAR}) AS x0 FROM v0, unnest([{', '.join(f'{h}::DOUBLE' for h in HORIZONS)}]) AS u(h)),
+        w1 AS (SELECT *, CASE WHEN x0 IS NOT NULL THEN {_NEAR.format(target='w0.until', w='w0', bar=BAR, after='w0.x0.e')} END AS x1 FROM w0),
+        w2 AS (SELECT *, CASE WHEN x0 IS NULL THEN 'no_base' WHEN reasons != '' THEN 'censored' WHEN x1 IS NULL THEN 'stale_endpoint' ELSE 'observed' END AS status, x1.c - x0.c AS y, CASE WHEN hit THEN ret ELSE 0 END AS rn, CASE WHEN hit THEN 0 ELSE ret END AS rx, coalesce(ln(1 + greatest(0.0, res - ends)), 0) AS lleft FROM ({_censored('w1', 'condition', 'ends', 'until', 'statuses', 'contracts', 'gaps')}))
+        SELECT CAST(h / 3600 AS INT) AS hours, status, count(*) AS n, round(sum(y * rn), 6) + 0.0::DOUBLE AS y_r_news, round(sum(y * rx), 6) + 0.0::DOUBLE AS y_r_nonnews, round(sum(rn * rn), 6) AS r_news_r_news, round(sum(close * abs(close)), 6) AS close_distance, round(sum(coalesce(spread_mean, 0) * ln(1 + turnover)), 6) AS spread_log_turnover, round(sum(vol * lleft), 6) AS vol_log_left, sum((res IS NULL)::INT)::DOUBLE AS left_missing FROM w2 GROUP BY ALL""",
 }
-QUERIES = {k: globals()[k] for k in ORACLE}
+QUERIES = {k: globals()[k] for k in ORACLE} | {"drift_regressions": drift_regressions}

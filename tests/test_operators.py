@@ -192,7 +192,7 @@ def test_regressions(spark):
     right = (F.col("p") > 0.5) == (F.col("label") > 0)
     p = two.select(S.predict(m).alias("p"), "label").agg(F.avg(right.cast("double"))).first()[0]
     assert p > 0.75
-    ci = S.cluster_bootstrap(df, "g", "y")
+    ci = S.cluster_bootstrap(df, "g", "y").first()
     assert ci["low"] < ci["mean"] < ci["high"]
 
 
