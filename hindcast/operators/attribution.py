@@ -107,9 +107,10 @@ def _trained(fold: Fold, block: int, blocks: int, places: np.ndarray) -> np.ndar
     return out
 
 
-def fit_all(placed: DataFrame, folds: list[Fold], fits: list[Fit], channels: dict[str, list[str]], label: str, rules: Rules, l2: float = 1.0, rounds: int = 25) -> dict:
+def fit_all(placed: DataFrame, folds: list[Fold], fits: list[Fit], channels: dict[str, list[str]], label: str, rules: Rules, l2: float = 1.0, rounds: int = 25, without: dict[str, list[str]] | None = None) -> dict:
     """Weights on standardised features (intercept first), means and deviations of each fit, and whether it converged.
 
+    without: the features that a fit with that name in place of a channel lacks, those of the channel unless told otherwise.
     A deviation near 0 counts as 1, flags (_missing, _incomplete) aren't standardised, the intercept is not penalised.
     """
     names = [x for xs in channels.values() for x in xs]
@@ -138,7 +139,7 @@ def fit_all(placed: DataFrame, folds: list[Fold], fits: list[Fit], channels: dic
         n, m = max(1.0, v[0]), v[1:k] / max(1.0, v[0])
         s = np.sqrt(np.maximum(v[k:] / n - m**2, 0))
         scale[sets[g]] = np.where(flags, 0, m), np.where(flags | (s < 1e-9 * np.maximum(1, np.abs(m))), 1, s)
-    keep = [np.array([0, *(1 + i for i, n in enumerate(names) if f.channel is None or n not in channels[f.channel])]) for f in fits]
+    keep = [np.array([0, *(1 + i for i, n in enumerate(names) if f.channel is None or n not in (without or channels)[f.channel])]) for f in fits]
     weights, done = np.zeros((len(fits), k)), np.zeros(len(fits), bool)
     for _ in range(rounds):
         open_ = [i for i in range(len(fits)) if not done[i]]
@@ -258,3 +259,44 @@ def attribute(decisions: DataFrame, label: str, time: str, ident: str, channels:
     confidence = F.when(c("fit_ok") & c("ablation_ok") & (c("top_delta") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure))).otherwise(0.0)
     keep = ["fold", "n_train", "p", "observed_p", "intercept", *(f"{x}_{n}" for x in ("logit", "delta") for n in channels), "leads", "top_delta", "margin", "margin_ratio", "fold_mean", "stability", "null_top"]
     return out.select(ident, label, time, "status", F.when(c("status").isin("accepted", "ambiguous"), c("leads")).alias("primary"), confidence.alias("confidence"), *keep)
+
+
+#: Fixed names: the groups of features of each nested model.
+NESTED = {"M0": ["base"], "M1": ["base", "actor"], "M2": ["base", "actor", "market", "position"], "M3": ["base", "actor", "market", "position", "news"]}
+
+
+def nested_predictions(decisions: DataFrame, label: str, time: str, ident: str, groups: dict[str, list[str]] = GROUPS, models: dict[str, list[str]] = NESTED, k: int = 3, embargo: float = 0.0, l2: float = 1.0, first_train: float = 0.3) -> DataFrame:
+    """ident, label, time, fold, n_train and p_<model> of each evaluated decision: models of nested groups, all folds and models fitted
+    together on the rows before each fold's start less the embargo. Tables too small for a fold give no rows."""
+    used = {g: groups[g] for g in groups if any(g in gs for gs in models.values())}
+    names = [x for xs in used.values() for x in xs]
+    rows = stored(decisions.select(ident, label, time, *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in names]), "nested")
+    placed = stored(ranked(rows, time, ident), "placed")
+    folds = expanding_folds(placed, time, k, embargo, first_train)
+    fits = [Fit(f, -1, -1, m) for f in range(len(folds)) for m in models]
+    without = {m: [x for g in used if g not in gs for x in used[g]] for m, gs in models.items()}
+    model = fit_all(placed, folds, fits, used, label, Rules(), l2, without=without) if fits else None
+    schema = ", ".join(f"`{c}` {t}" for c, t in [(c, dict(rows.dtypes)[c]) for c in (ident, label, time)] + [("fold", "int"), ("n_train", "long"), *((f"p_{m}", "double") for m in models)])
+
+    def run(batches):
+        for b in batches:
+            for f, fold in enumerate(folds):
+                own = b[(b["__r"] >= fold.a) & (b["__r"] < fold.b)]
+                if len(own):
+                    m, s = model["scale"][f, -1]
+                    z = np.column_stack([np.ones(len(own)), (own[names].to_numpy(float) - m) / s])
+                    p = {f"p_{x.channel}": 1 / (1 + np.exp(-np.clip(z @ w, -500, 500))) for x, w in zip(fits, model["weights"], strict=True) if x.fold == f}
+                    yield pd.DataFrame({ident: own[ident], label: own[label], time: own[time], "fold": f, "n_train": fold.train} | p)
+
+    return placed.mapInPandas(run, schema)
+
+
+def nested_metrics(predictions: DataFrame, label: str, models: dict[str, list[str]] = NESTED) -> DataFrame:
+    """model, n, brier, log_loss, accuracy and ece (ten bins, weighted by their rows) of each model."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("p")) for m in models])).alias("x")
+    rows = predictions.select((F.col(label) > 0).cast("double").alias("y"), each).select("y", "x.*")
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("p")))
+    by = rows.groupBy("model", F.least(F.floor(F.col("p") * 10), F.lit(9)).alias("bin")).agg(
+        F.count("*").alias("n"), F.sum(F.pow(F.col("p") - F.col("y"), F.lit(2))).alias("b"), F.sum(-(F.col("y") * F.ln(p) + (1 - F.col("y")) * F.ln(1 - p))).alias("l"), F.sum(((F.col("p") >= 0.5) == (F.col("y") > 0)).cast("int")).alias("a"), F.abs(F.sum(F.col("p") - F.col("y"))).alias("e")
+    )
+    return by.groupBy("model").agg(F.sum("n").alias("n"), (F.sum("b") / F.sum("n")).alias("brier"), (F.sum("l") / F.sum("n")).alias("log_loss"), (F.sum("a") / F.sum("n")).alias("accuracy"), (F.sum("e") / F.sum("n")).alias("ece"))

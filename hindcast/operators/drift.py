@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.operators import stats as S
@@ -21,7 +21,7 @@ MIN_CLUSTERS, MIN_ROWS = 5, 20
 
 
 def observations(records: DataFrame, closes: DataFrame, statuses: DataFrame, versions: DataFrame, gaps: DataFrame, bar: float, horizons: tuple[float, ...]) -> DataFrame:
-    """For each record (condition, bin_start, r_news, r_nonnews, close, spread_mean, turnover, trailing_vol) and horizon: status, y, day and NAMES.
+    """For each record (condition, bin_start, is_news, r_news, r_nonnews, close, spread_mean, turnover, trailing_vol) and horizon: status, y, day and NAMES.
 
     y is the move from the last close by the record's end to that nearest to the horizon after it, within a bar and later than
     the first. status: observed, no_base, censored (not known to have stayed open) or stale_endpoint.
@@ -37,15 +37,47 @@ def observations(records: DataFrame, closes: DataFrame, statuses: DataFrame, ver
     status = F.when(c("base").isNull(), "no_base").when(~c("open_through"), "censored").when(c("later").isNull(), "stale_endpoint").otherwise("observed")
     left = c("time_to_resolution")
     x = {"distance": F.abs("close"), "spread": F.coalesce("spread_mean", F.lit(0.0)), "log_turnover": F.log1p("turnover"), "vol": F.coalesce("trailing_vol", F.lit(0.0)), "log_left": F.coalesce(F.log1p(left), F.lit(0.0)), "left_missing": left.isNull().cast("double")}
-    return rows.select(*ident, F.floor(c("bin_start") / DAY).cast("long").alias("day"), status.alias("status"), (c("later") - c("base")).alias("y"), "r_news", "r_nonnews", "close", *[v.alias(n) for n, v in x.items()])
+    return rows.select(*ident, F.floor(c("bin_start") / DAY).cast("long").alias("day"), status.alias("status"), (c("later") - c("base")).alias("y"), "is_news", "r_news", "r_nonnews", "close", *[v.alias(n) for n, v in x.items()])
+
+
+def _demeaned(observed: DataFrame, within: list[str]) -> DataFrame:
+    means = observed.groupBy(*[F.col(c).alias(f"w_{c}") for c in within]).agg(*[F.avg(n).alias(f"m_{n}") for n in ["y", *NAMES]])
+    return observed.join(means, [F.col(c) == F.col(f"w_{c}") for c in within]).withColumns({n: F.col(n) - F.col(f"m_{n}") for n in ["y", *NAMES]})
 
 
 def cells(observed: DataFrame) -> DataFrame:
     """Gram sums by (horizon, condition, day) of y and NAMES, demeaned within each horizon's conditions; all horizons in one pass.
     Every clustering of a regression is a sum of cells."""
-    means = observed.groupBy(F.col("horizon").alias("h"), F.col("condition").alias("m")).agg(*[F.avg(n).alias(f"m_{n}") for n in ["y", *NAMES]])
-    rows = observed.join(means, (F.col("horizon") == F.col("h")) & (F.col("condition") == F.col("m"))).withColumns({n: F.col(n) - F.col(f"m_{n}") for n in ["y", *NAMES]})
-    return rows.groupBy("horizon", "condition", "day").agg(F.count("*").alias("n"), *S.gram(NAMES, "y"))
+    return _demeaned(observed, ["horizon", "condition"]).groupBy("horizon", "condition", "day").agg(F.count("*").alias("n"), *S.gram(NAMES, "y"))
+
+
+def placebo_p(rows: DataFrame, times: int, seed: str = "placebo") -> DataFrame:
+    """horizon, beta_news, mean_placebo and p = (exceed + 1) / (times + 1): how often news flags dealt anew among a condition's intervals
+    give a coefficient as large. rows: observations() with is_news, materialised; the replicates are one more key of the Gram sums,
+    so all are made in one pass and the driver gets a matrix for each horizon and replicate."""
+    c = F.col
+    flags = rows.select(c("condition").alias("f_condition"), c("bin_start").alias("f_bin"), "is_news").distinct()
+    draw = flags.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    order = F.md5(F.concat_ws(":", F.lit(seed), c("draw").cast("string"), c("f_condition"), c("f_bin").cast("long").cast("string")))
+    within = Window.partitionBy("f_condition", "draw")
+    to = draw.select("f_condition", "f_bin", "draw", F.row_number().over(within.orderBy("f_bin")).alias("k"))
+    given = draw.select(c("f_condition").alias("g_condition"), c("draw").alias("g_draw"), F.row_number().over(within.orderBy(order, "f_bin")).alias("g_k"), c("is_news").alias("g_news"))
+    dealt = to.join(given, (c("f_condition") == c("g_condition")) & (c("draw") == c("g_draw")) & (c("k") == c("g_k"))).select("f_condition", "f_bin", "draw", "g_news")
+    dealt = dealt.unionByName(flags.select("f_condition", "f_bin", F.lit(-1).alias("draw"), c("is_news").alias("g_news")))
+    ret = c("r_news") + c("r_nonnews")
+    each = rows.where("status = 'observed'").join(dealt, (c("condition") == c("f_condition")) & (c("bin_start") == c("f_bin")))
+    each = each.withColumn("ret", ret).withColumns({"r_news": F.when(c("g_news") == 1, c("ret")).otherwise(0.0), "r_nonnews": F.when(c("g_news") == 1, 0.0).otherwise(c("ret"))})
+    sums = _demeaned(each, ["horizon", "draw", "condition"]).groupBy("horizon", "draw").agg(F.count("*").alias("n"), *S.gram(NAMES, "y")).collect()
+    betas: dict[float, dict[int, float]] = {}
+    for r in sums:
+        if r["n"] >= MIN_ROWS:
+            a, b = S._matrices(r, len(NAMES) + 1)
+            betas.setdefault(r["horizon"], {})[r["draw"]] = float((np.linalg.pinv(a) @ b)[1])
+    made = []
+    for h, by in sorted(betas.items()):
+        own, others = by.pop(-1), list(by.values())
+        made.append((h, own, float(np.mean(others)) if others else None, (sum(abs(x) >= abs(own) for x in others) + 1) / (len(others) + 1)))
+    return rows.sparkSession.createDataFrame(made, "horizon double, beta_news double, mean_placebo double, p double")
 
 
 def _meat(own: DataFrame, by: list[str], beta: np.ndarray) -> tuple[np.ndarray, int]:

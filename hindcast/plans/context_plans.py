@@ -72,11 +72,22 @@ def decision_context(spark, sf_dir):
     return rounded(rows.select("decision_id", c("contract_now.last.effective_from").alias("contract_from"), c("status_now.last.blocking").alias("blocking"), c("yes_now.last.__at").alias("yes_book_at"), c("no_now.last.__at").alias("no_book_at"), c("book_now.last.mid").alias("mid"), c("leg_now.n").cast("long").alias("legs_before"), c("held_now.n").cast("long").alias("legs_here"), c("screen_now.evaluated").cast("long").alias("screens"), c("mode_with.last.label").alias("mode"), c("top.article").alias("top_article"), FE.future_information(rows).alias("future_information")), 6)
 
 
-def driver_attribution(spark, sf_dir):
-    """The channel that each decision's direction is attributed to, over all features: a purchase worth more than 25 is one up."""
+def labelled(spark, sf_dir):
+    """All features with a direction: a purchase worth more than 25 is one up."""
     made = FE.compute_features(FE.contexts(decisions(spark, sf_dir), tables(spark, sf_dir)))
     up = table(spark, sf_dir, "events").select(F.col("event_id").alias("e"), F.when(F.col("value") > 25, 1).otherwise(-1).alias("label"))
-    rows = made.join(up, F.col("decision_id") == F.col("e")).drop("e")
+    return made.join(up, F.col("decision_id") == F.col("e")).drop("e")
+
+
+def nested_evaluation(spark, sf_dir):
+    """Scores of models of base, actor, market and position, and news features on expanding folds with a day of embargo."""
+    made = stored(AT.nested_predictions(labelled(spark, sf_dir), "label", "t", "decision_id", embargo=DAY), "predictions")
+    return rounded(AT.nested_metrics(made, "label"), 6)
+
+
+def driver_attribution(spark, sf_dir):
+    """The channel that each decision's direction is attributed to, over all features."""
+    rows = labelled(spark, sf_dir)
     evidence = F.col("news_decay_missing") == 0
     out = AT.attribute(rows, "label", "t", "decision_id", coverage=F.col("pos_history_incomplete") == 0, evidence=evidence, embargo=DAY)
     return rounded(out.select("decision_id", "label", "fold", "n_train", "status", "primary", "leads", "top_delta", "margin", "stability", "fold_mean", "null_top", "confidence", "observed_p"), 6)
@@ -130,4 +141,4 @@ ORACLE = {
     "features_all": f"{_WITH} SELECT decision_id, wallet, condition, dec.t, {', '.join(f'round(CAST({x} AS DOUBLE), 6) + 0.0::DOUBLE AS {n}' for n, x in _VALUES.items())} FROM dec {_JOINED}",
     "decision_context": f"{_WITH} SELECT decision_id, round(since, 6) AS contract_from, blocking, round(yes_at, 6) AS yes_book_at, round(no_at, 6) AS no_book_at, round(mid, 6) AS mid, coalesce(ac.n, 0) AS legs_before, coalesce(here, 0) AS legs_here, coalesce(evaluated, 0) AS screens, pv.label AS mode, rec.top.article AS top_article, false AS future_information FROM dec {_JOINED}",
 }
-QUERIES = {k: globals()[k] for k in ORACLE} | {"driver_attribution": driver_attribution}
+QUERIES = {k: globals()[k] for k in ORACLE} | {"driver_attribution": driver_attribution, "nested_evaluation": nested_evaluation}

@@ -67,6 +67,10 @@ def drift_regressions(spark, sf_dir):
     return rounded(drift.drift_regressions(_observations(spark, sf_dir), HORIZONS), 9)
 
 
+def drift_placebo(spark, sf_dir):
+    return rounded(drift.placebo_p(_observations(spark, sf_dir), 19), 9)
+
+
 def _censored(windows: str, key: str, start: str, end: str, statuses: str, versions: str, gaps: str) -> str:
     """A query of the windows with reasons, each by its own subquery."""
     at = lambda t: f"s.{key} = w.{key} AND effective_from {t}"
@@ -97,4 +101,4 @@ ORACLE = {
         w2 AS (SELECT *, CASE WHEN x0 IS NULL THEN 'no_base' WHEN reasons != '' THEN 'censored' WHEN x1 IS NULL THEN 'stale_endpoint' ELSE 'observed' END AS status, x1.c - x0.c AS y, CASE WHEN hit THEN ret ELSE 0 END AS rn, CASE WHEN hit THEN 0 ELSE ret END AS rx, coalesce(ln(1 + greatest(0.0, res - ends)), 0) AS lleft FROM ({_censored('w1', 'condition', 'ends', 'until', 'statuses', 'contracts', 'gaps')}))
         SELECT CAST(h / 3600 AS INT) AS hours, status, count(*) AS n, round(sum(y * rn), 6) + 0.0::DOUBLE AS y_r_news, round(sum(y * rx), 6) + 0.0::DOUBLE AS y_r_nonnews, round(sum(rn * rn), 6) AS r_news_r_news, round(sum(close * abs(close)), 6) AS close_distance, round(sum(coalesce(spread_mean, 0) * ln(1 + turnover)), 6) AS spread_log_turnover, round(sum(vol * lleft), 6) AS vol_log_left, sum((res IS NULL)::INT)::DOUBLE AS left_missing FROM w2 GROUP BY ALL""",
 }
-QUERIES = {k: globals()[k] for k in ORACLE} | {"drift_regressions": drift_regressions}
+QUERIES = {k: globals()[k] for k in ORACLE} | {"drift_regressions": drift_regressions, "drift_placebo": drift_placebo}

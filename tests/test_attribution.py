@@ -83,3 +83,25 @@ def test_channels_part_all_features_and_small_tables_have_no_numbers(spark):
     for rows in (frame.limit(3), frame.limit(0)):
         out = A.attribute(rows, "y", "t", "id", CHANNELS).collect()
         assert len(out) == rows.count() and all(r.status == "insufficient_context" and r.confidence == 0 for r in out)
+
+
+def test_nested_models_equal_separate_fits(spark):
+    x, y, t, frame = world(spark, 200, 9)
+    embargo, models = 43_200.0, {"small": ["news"], "large": ["news", "trend"]}
+    made = A.nested_predictions(frame, "y", "t", "id", CHANNELS, models, k=2, embargo=embargo).cache()
+    out = {r.id: r for r in made.collect()}
+    flags = np.array([c.endswith("_missing") for c in NAMES])
+    first, up = int(200 * 0.3), (y + 1) / 2
+    assert sorted(out) == [f"d{i:04}" for i in range(first, 200)]
+    for f, block in enumerate(np.array_split(np.arange(first, 200), 2)):
+        train = np.flatnonzero(t < t[block[0]] - embargo)
+        for m, groups in models.items():
+            keep = [i for i, c in enumerate(NAMES) if any(c in CHANNELS[g] for g in groups)]
+            want = plain_fit(x[train][:, keep], up[train], flags[keep])(x[block][:, keep])
+            assert np.allclose([out[f"d{i:04}"][f"p_{m}"] for i in block], want, atol=1e-8) and {out[f"d{i:04}"].fold for i in block} == {f}
+    got = {r.model: r for r in A.nested_metrics(made, "y", models).collect()}
+    p, u = np.array([out[f"d{i:04}"].p_large for i in range(first, 200)]), up[first:]
+    bins = np.minimum((p * 10).astype(int), 9)
+    ece = sum(abs((p - u)[bins == b].sum()) for b in range(10)) / len(p)
+    assert np.allclose([got["large"].brier, got["large"].log_loss, got["large"].accuracy, got["large"].ece], [((p - u) ** 2).mean(), -np.log(np.where(u > 0, p, 1 - p)).mean(), ((p >= 0.5) == (u > 0)).mean(), ece])
+    assert got["large"].log_loss < got["small"].log_loss and A.nested_predictions(frame.limit(0), "y", "t", "id", CHANNELS, models).count() == 0

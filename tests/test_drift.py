@@ -103,3 +103,15 @@ def test_hashed_draws_equal_plain_loops(spark):
     assert [got.low, got.high] == pytest.approx(np.percentile(means, [2.5, 97.5]))
     none = S.cluster_bootstrap(spark.createDataFrame([], "g int, v double"), "g", "v", draws=8).first()
     assert (none.mean, none.low, none.clusters) == (None, None, 0)
+
+
+def test_placebos_deal_the_flags_anew_within_conditions(spark):
+    rows, frame = observed(spark)
+    flagged = frame.withColumns({"is_news": (F.col("bin_start") % 2 == 0).cast("int")})
+    ret = F.col("r_news") + F.col("r_nonnews")
+    flagged = flagged.withColumn("ret", ret).withColumns({"r_news": F.when(F.col("is_news") == 1, F.col("ret")).otherwise(0.0), "r_nonnews": F.when(F.col("is_news") == 1, 0.0).otherwise(F.col("ret"))})
+    planted = flagged.withColumn("y", 3 * F.col("r_news") + F.col("vol") * 0.1).cache()
+    got = drift.placebo_p(planted, 19).collect()
+    assert [(r.horizon, r.p) for r in got] == [(3600.0, 1 / 20)] and abs(got[0].beta_news - 3) < 1e-6 and abs(got[0].mean_placebo - 1.5) < 0.8
+    null = planted.withColumn("y", F.col("vol")).cache()
+    assert drift.placebo_p(null, 9).first().p > 0.05 and drift.placebo_p(planted.limit(5).cache(), 3).count() == 0
