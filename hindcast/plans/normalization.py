@@ -134,7 +134,10 @@ def backfill_windows(spark, sf_dir):
     step, over = 864_000.0, 3600.0
     n = F.ceil((F.col("b") - F.col("a")) / step).cast("int")
     w = span.select("a", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("k")).select("k", F.greatest(F.col("a"), F.col("b") - (F.col("k") + 1) * step - over).alias("window_start"), (F.col("b") - F.col("k") * step).alias("window_end"))
-    rows = A.books(spark, sf_dir).join(F.broadcast(w), (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end")))
+    # A row lies in the window that its distance from the end gives, and maybe in the one before that, by the overlap.
+    last = (F.ceil((F.col("b") - F.col("ts")) / step) - 1).cast("int")
+    books = A.books(spark, sf_dir).select("ts").crossJoin(F.broadcast(span)).select("ts", F.explode(F.array(last - 1, last, last + 1)).alias("at"))  # span has one row
+    rows = books.join(w, (F.col("at") == F.col("k")) & (F.col("ts") >= F.col("window_start")) & (F.col("ts") < F.col("window_end")))
     return rows.groupBy("k", "window_start", "window_end").agg(F.count("*").alias("records"), F.min("ts").alias("observed_min"), F.max("ts").alias("observed_max"))
 
 
