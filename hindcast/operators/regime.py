@@ -152,9 +152,9 @@ def smoothed_modes(segmented: DataFrame, centroids: list[list[float]], penalty:
     d = F.col("d")
     last = F.lead("d").over(Window.partitionBy("condition", "segment").orderBy("bin_start")).isNull()
     sure = F.when(last, F.when(d >= 0, 0).otherwise(1)).when(d >= penalty, 0).when(d < -penalty, 1)
-    w = Window.partitionBy("condition", "segment").orderBy("bin_start").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("condition", "segment").orderBy(F.desc("bin_start")).rowsBetween(Window.unboundedPreceding, 0)
     rows = cost_differences(segmented, centroids, penalty).withColumn("sure", sure)
-    return rows.select("condition", "segment", "bin_start", F.first("sure", ignorenulls=True).over(w).alias("mode"))
+    return rows.select("condition", "segment", "bin_start", F.last("sure", ignorenulls=True).over(w).alias("mode"))
 
 
 def initial_centroids(rows: DataFrame) -> list[list[float]]:
@@ -178,6 +178,10 @@ def initial_centroids(rows: DataFrame) -> list[list[float]]:
     return [got[False], got[True]]
 
 
+class TooFewBars(ValueError):
+    """The refusal to fit a model to fewer than ten bars."""
+
+
 def fit_jump_model(segmented: DataFrame, penalty: float | None = None, least_run: float = 3.0, rounds: int = 50) -> dict:
     """Centroids, penalty and the calm mode. Without a penalty the first of LAMBDAS whose runs are long enough on average.
 
@@ -185,7 +189,7 @@ def fit_jump_model(segmented: DataFrame, penalty: float | None = None, least_run
     """
     segmented = segmented.cache()
     if segmented.limit(10).count() < 10:
-        raise ValueError("too few bars to fit")
+        raise TooFewBars("too few bars to fit")
     try:
         start = initial_centroids(segmented)
         for lam in (penalty,) if penalty is not None else LAMBDAS:

@@ -48,9 +48,13 @@ def smoothed_modes(spark, sf_dir):
 
 
 def jump_model(spark, sf_dir):
-    """The fitted model: penalty, calm mode and centroids."""
-    m = R.fit_jump_model(R.stationary_segments(study.bars(spark, sf_dir), BAR), penalty=PENALTY)
-    return spark.createDataFrame([(k, float(m["lambda"]), k == m["calm"], [float(x) for x in m["centroids"][k]]) for k in range(2)], "mode int, penalty double, calm boolean, centroid array<double>")
+    """The fitted model: penalty, calm mode and centroids; no rows if gaps leave fewer than ten complete bars, as there is no model then."""
+    try:
+        m = R.fit_jump_model(R.stationary_segments(study.bars(spark, sf_dir), BAR), penalty=PENALTY)
+        modes = [(k, float(m["lambda"]), k == m["calm"], [float(x) for x in m["centroids"][k]]) for k in range(2)]
+    except R.TooFewBars:
+        modes = []
+    return spark.createDataFrame(modes, "mode int, penalty double, calm boolean, centroid array<double>")
 
 
 def mode_durations(spark, sf_dir):
