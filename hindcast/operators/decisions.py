@@ -11,6 +11,15 @@ from hindcast.operators.asof import SLICE, _named, _same, asof_join
 HALF_LIVES = {"6h": 6 * 3600.0, "24h": 24 * 3600.0, "72h": 72 * 3600.0, "168h": 168 * 3600.0}
 MAX_AGE = 28 * 86_400.0
 RATIO = 0.2
+#: Ledgers of a wallet are cut into slices of two years: in shorter ones there is hardly a second event, so that what they end
+#: with is as many rows as the events.
+LEDGER_SLICE = 730 * 86_400.0
+
+
+def anchors(legs: DataFrame, interval: float) -> DataFrame:
+    """wallet, condition, anchor: when the episodes of episodes() begin, without their legs."""
+    fold = F.aggregate(F.array_sort(F.collect_set("ts")), F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= interval), F.concat(a, F.array(t))).otherwise(a))
+    return legs.where("role = 'taker'").groupBy("wallet", "condition").agg(fold.alias("anchors")).select("wallet", "condition", F.explode("anchors").alias("anchor"))
 
 
 def episodes(legs: DataFrame, interval: float) -> DataFrame:
@@ -21,8 +30,7 @@ def episodes(legs: DataFrame, interval: float) -> DataFrame:
     gross, below the ratio, or for a net of 0.
     """
     rows = legs.where("role = 'taker'").withColumn("change", X.proposition_change("size", "side", "sign"))
-    anchors = F.aggregate(F.array_sort(F.collect_set("ts")), F.array().cast("array<double>"), lambda a, t: F.when((F.size(a) == 0) | (t - F.element_at(a, -1) >= interval), F.concat(a, F.array(t))).otherwise(a))
-    at = rows.groupBy("wallet", "condition").agg(anchors.alias("anchors")).select("wallet", "condition", F.explode("anchors").alias("anchor"))
+    at = anchors(legs, interval)
     placed = asof_join(rows.select("wallet", "condition", "ts", "change"), at, ["wallet", "condition"], "ts", "anchor", ["anchor"], strict=False, slice_seconds=max(SLICE, 8 * interval))
     made = placed.groupBy("wallet", "condition", "anchor").agg(F.count("*").alias("n_legs"), F.coalesce(F.sum("change"), F.lit(0.0)).alias("net"), F.coalesce(F.sum(F.abs("change")), F.lit(0.0)).alias("gross"))
     ratio = F.when(F.col("gross") > 0, F.abs("net") / F.col("gross"))
@@ -50,13 +58,13 @@ def balances_asof(decisions: DataFrame, events: DataFrame) -> DataFrame:
     keys = ["wallet", "asset"]
     rows = events.select(*keys, "ts", F.coalesce("token_change", F.lit(0.0)).alias("balance"), F.coalesce("cash_change", F.lit(0.0)).alias("cash"), F.lit(1.0).alias("n_events"), F.col("token_change").isNull().cast("double").alias("n_unresolved"))
     names = ["balance", "cash", "n_events", "n_unresolved"]
-    at = rows.groupBy(*keys, "ts").agg(*[F.sum(n).alias(n) for n in names]).withColumn("slice", F.floor(F.col("ts") / SLICE))
+    at = rows.groupBy(*keys, "ts").agg(*[F.sum(n).alias(n) for n in names]).withColumn("slice", F.floor(F.col("ts") / LEDGER_SLICE))
     run = Window.partitionBy(*keys, "slice").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     over = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = at.groupBy(*keys, "slice").agg(*[F.sum(n).alias(n) for n in names]).withColumns({f"b_{n}": F.coalesce(F.sum(n).over(over), F.lit(0.0)) for n in names})
     summed = at.join(_named(carry, [*keys, "slice"], [f"b_{n}" for n in names]), _same([*keys, "slice"])).select(*keys, "ts", *[(F.sum(n).over(run) + F.col(f"b_{n}")).alias(n) for n in names])
     pairs = decisions.join(rows.groupBy(*keys).agg(F.min("ts").alias("first")), "wallet").where("first < t").drop("first")
-    return asof_join(pairs, summed, keys, "t", "ts", names, order=["ts"])
+    return asof_join(pairs, summed, keys, "t", "ts", names, order=["ts"], slice_seconds=LEDGER_SLICE)
 
 
 def decayed_signals(pairs: DataFrame) -> DataFrame:
