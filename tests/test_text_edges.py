@@ -1,6 +1,7 @@
 """Words next to letters outside ASCII: Spark's claims must be those of the SQL beside them."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from hindcast.sources import adapters as A
 
@@ -16,3 +17,15 @@ def test_claims_of_texts_outside_ascii(spark, tmp_path):
     found = A.claims(spark, str(tmp_path)).select("article", "claim", "entities", "family").orderBy("article").collect()
     assert [tuple(r) for r in found] == want
     assert found[0]["entities"] == ["AUX", "CI", "Le"]
+
+
+def test_claims_trim_all_space_separators_and_lower_the_dotted_i(spark, tmp_path):
+    texts = ["\u00a0\u3000Foo bar. Baz\u2003", "one\u2003", "\u00a0", "x İone. Two", "9İA?", "\u2028Foo\u2028", "\tFoo\n"]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, lang VARCHAR, source VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, 'xx', 's', ?)", [[i, t] for i, t in enumerate(texts)])
+    db.execute(f"COPY documents TO '{tmp_path}/documents.parquet'")
+    want = db.execute(A.duck("articles", "claims") + "SELECT article, claim, list_sort(words) AS words, family FROM claims ORDER BY article").fetchall()
+    found = A.claims(spark, str(tmp_path)).select("article", "claim", F.array_sort("words").alias("words"), "family").orderBy("article").collect()
+    assert [tuple(r) for r in found] == want
+    assert found[0]["claim"] == "Foo bar." and found[3]["words"] == ["ione"]
