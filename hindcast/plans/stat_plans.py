@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import exprs as X
 from hindcast.operators import stats as S
+from hindcast.operators.lineage import stored
 from hindcast.plans.study import rounded
 from hindcast.sources import adapters as A
 from hindcast.sources.adapters import duck, table
@@ -162,13 +163,11 @@ def wild_bootstrap(spark, sf_dir):
 def nested_models(spark, sf_dir):
     """Log losses of nested models on the last of four chronological folds, trained on those before."""
     rows = lines(spark, sf_dir).withColumn("label", F.when(F.col("l_quantity") + F.col("y") / 3 + F.col("l_orderkey") % 17 > 45, 1).otherwise(-1))
-    rows = S.folds(rows.withColumn("tie", F.xxhash64("l_orderkey", *XS, "y")), "ts", "tie", 4)
-    out = []
-    for k in range(1, len(XS) + 1):
-        m = S.logistic(rows.where("fold < 3"), XS[:k], "label", rounds=8)
-        p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), S.predict(m)))
-        loss = rows.where("fold = 3").agg(F.avg(-F.ln(F.when(F.col("label") == 1, p).otherwise(F.lit(1.0) - p)))).first()[0]
-        out.append((f"M{k - 1}", ",".join(XS[:k]), float(loss)))
+    rows = stored(S.folds(rows.withColumn("tie", F.xxhash64("l_orderkey", *XS, "y")), "ts", "tie", 4).select(*XS, "label", "fold"), "folds")
+    models = S.logistics(rows.where("fold < 3"), [XS[:k] for k in range(1, len(XS) + 1)], "label", rounds=8, keep=False)
+    chance = [F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), S.predict(m))) for m in models]
+    losses = rows.where("fold = 3").agg(*[F.avg(-F.ln(F.when(F.col("label") == 1, p).otherwise(F.lit(1.0) - p))).alias(f"l{i}") for i, p in enumerate(chance)]).first()
+    out = [(f"M{i}", ",".join(m["names"]), float(losses[f"l{i}"])) for i, m in enumerate(models)]
     return spark.createDataFrame(out, "model string, features string, log_loss double")
 
 
