@@ -48,7 +48,9 @@ def decoded(raw: DataFrame) -> DataFrame:
 def records(raw: DataFrame, *surfaces: str) -> DataFrame:
     """raw_response_id, received_at, source (of news), record_index, record_hash and record of the named surfaces."""
     rows = decoded(raw).where(F.col("surface").isin(*surfaces))
-    return rows.select("raw_response_id", "received_at", "surface", F.regexp_replace("collector", "^news:", "").alias("source"), F.posexplode("records").alias("record_index", "record")).withColumn("record_hash", F.sha2("record", 256))
+    # posexplode() alone would add a filter on the records' number below itself, for which payloads would be decoded twice.
+    each = rows.select("raw_response_id", "received_at", "surface", F.regexp_replace("collector", "^news:", "").alias("source"), F.posexplode_outer("records").alias("record_index", "record"))
+    return each.where("record_index is not null").withColumn("record_hash", F.sha2("record", 256))
 
 
 def _fields(df: DataFrame, ddl: str) -> DataFrame:
@@ -95,27 +97,32 @@ def outcome_tokens(parsed: DataFrame) -> DataFrame:
     return first.select("condition", "asset", "mapping_effective_from", "f.*", F.when(F.col("f.outcome_sign").isNull(), "unresolvable_sign").alias("reason"))
 
 
-def trades(rows: DataFrame, tokens: DataFrame, executions: bool) -> DataFrame:
-    """Trade records as executions (a sign is needed) or as legs (it may be unknown), with reason.
+def mapped_trades(rows: DataFrame, tokens: DataFrame, executions: Column) -> DataFrame:
+    """The fields of trade records that are used, the sign and label of their token, and reason. executions: which records are
+    executions (a sign is needed) and not legs (a wallet is).
 
     reason: malformed (a field is missing or no number), price_range, unmapped. The sign is that of the latest mapping of the
-    token at or before the trade.
+    token at or before the trade; a token's mappings are few, as its market's creation dates them, so they form one row.
     """
     ddl = "conditionId string, asset string, side string, size string, price string, timestamp string, transactionHash string, logIndex long, occurrence long, proxyWallet string, id string"
     made = _fields(rows, ddl).withColumns({"size": F.col("size").try_cast("double"), "price": F.col("price").try_cast("double"), "ts": F.col("timestamp").try_cast("double"), "side": F.upper("side")})
-    needed = ["conditionId", "asset", "side", "size", "price", "ts", "transactionHash", *([] if executions else ["proxyWallet"])]
-    bad = F.lit(False)
-    for c in needed:
+    bad = ~executions & F.col("proxyWallet").isNull()
+    for c in ("conditionId", "asset", "side", "size", "price", "ts", "transactionHash"):
         bad = bad | F.col(c).isNull()
-    made = made.withColumns({"condition": F.col("conditionId"), "bad": bad, "at": F.coalesce("ts", F.lit(0.0))})
-    known = tokens.where("outcome_sign is not null").select("condition", "asset", "mapping_effective_from", "outcome_sign", "outcome_label")
-    made = asof_join(made, known, ["condition", "asset"], "at", "mapping_effective_from", ["outcome_sign", "outcome_label"], strict=False)
+    used = ["raw_response_id", "record_index", "surface", "transactionHash", "logIndex", "asset", "side", "size", "price", "ts", "proxyWallet"]
+    made = made.select(*used, F.col("conditionId").alias("condition"), bad.alias("bad"))
+    known = tokens.where("outcome_sign is not null").groupBy(F.col("condition").alias("k_condition"), F.col("asset").alias("k_asset")).agg(F.array_sort(F.collect_list(F.struct(F.col("mapping_effective_from").alias("since"), "outcome_sign", "outcome_label"))).alias("versions"))
+    made = made.join(known, (F.col("condition") == F.col("k_condition")) & (F.col("asset") == F.col("k_asset")), "left")
+    last = F.try_element_at(F.filter("versions", lambda v: v["since"] <= F.coalesce("ts", F.lit(0.0))), F.lit(-1))
+    made = made.withColumn("m", last).select(*used, "condition", "bad", "m.outcome_sign", "m.outcome_label")
     out_of = ~F.col("price").between(-PRICE_SLACK, 1 + PRICE_SLACK)
-    reason = F.when(F.col("bad"), "malformed").when(out_of, "price_range")
-    if executions:
-        reason = reason.when(F.col("outcome_sign").isNull(), "unmapped")
+    return made.withColumn("reason", F.when(F.col("bad"), "malformed").when(out_of, "price_range").when(executions & F.col("outcome_sign").isNull(), "unmapped"))
+
+
+def trades(rows: DataFrame, tokens: DataFrame, executions: bool) -> DataFrame:
+    """Trade records as executions or as legs, with the reason of mapped_trades()."""
     ids = [F.col("raw_response_id"), F.col("record_index")]
-    out = made.withColumn("reason", reason).withColumns({"positive_price": X.positive_price("price", "outcome_sign"), "positive_side": X.positive_side("side", "outcome_sign")})
+    out = mapped_trades(rows, tokens, F.lit(executions)).withColumns({"positive_price": X.positive_price("price", "outcome_sign"), "positive_side": X.positive_side("side", "outcome_sign")})
     both = ["raw_response_id", "record_index", "reason", F.col("transactionHash").alias("transaction_hash"), F.col("logIndex").alias("log_index"), "condition", "asset", "ts", "size"]
     if executions:
         status = F.when(F.col("outcome_sign") == 1, "direct").when(F.col("outcome_sign") == -1, "complemented")

@@ -78,8 +78,8 @@ def normalize_legs(spark, sf_dir):
 def quarantine(spark, sf_dir):
     """Trade records that were not taken, by surface and reason."""
     raw, tokens = trade_responses(spark, sf_dir), outcome_tokens(spark, sf_dir)
-    made = [W.trades(W.records(raw, s), tokens, s == "executions").select(F.lit(s).alias("surface"), "reason") for s in ("executions", "legs")]
-    return made[0].union(made[1]).where("reason is not null").groupBy("surface", "reason").agg(F.count("*").alias("n"))
+    made = W.mapped_trades(W.records(raw, "executions", "legs"), tokens, F.col("surface") == "executions")
+    return made.where("reason is not null").groupBy("surface", "reason").agg(F.count("*").alias("n"))
 
 
 def normalize_raw_books(spark, sf_dir):

@@ -3,7 +3,8 @@
 import numpy as np
 
 from hindcast.operators import stats as S
-from hindcast.plans import reasoning_plans
+from hindcast.operators import raw as W
+from hindcast.plans import raw_plans, reasoning_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,17 @@ def test_fits_that_share_passes_equal_fits_made_one_by_one(spark):
         alone = S.logistic(rows, xs, "label", rounds=6)
         assert m["names"] == alone["names"] == xs and m["steps"] == alone["steps"] and m["scale"].keys() == alone["scale"].keys()
         assert np.allclose(m["weights"], alone["weights"], atol=1e-9)
+
+
+def test_payloads_are_decoded_once(spark):
+    assert "size(" not in planned(W.records(raw_plans.trade_responses(spark, SF), "executions"))
+
+
+def test_trades_take_the_latest_mapping_of_their_token(spark):
+    texts = [("1", "5"), ("1", "9.5"), ("1", "10"), ("2", "10"), (None, "10"), ("1", "x")]
+    lists = [f'{{"conditionId":{"null" if c is None else f"""\"{c}\""""},"asset":"a","side":"buy","size":"2","price":"0.25","timestamp":"{t}","transactionHash":"h"}}' for c, t in texts]
+    rows = spark.createDataFrame([(i, 0, "executions", x) for i, x in enumerate(lists)], "raw_response_id long, record_index int, surface string, record string")
+    tokens = spark.createDataFrame([("1", "a", 6.0, -1, "no"), ("1", "a", 10.0, 1, "yes"), ("1", "a", 3.0, 1, "yes"), ("1", "a", 9.0, None, None)], "condition string, asset string, mapping_effective_from double, outcome_sign int, outcome_label string")
+    found = [(r.positive_price, r.reason) for r in W.trades(rows, tokens, True).orderBy("raw_response_id").collect()]
+    assert found == [(0.25, None), (0.75, None), (0.25, None), (None, "unmapped"), (None, "malformed"), (None, "malformed")]
+    assert [r.reason for r in W.trades(rows, tokens, False).orderBy("raw_response_id").collect()] == ["malformed"] * 6
