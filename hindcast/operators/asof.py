@@ -32,12 +32,14 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
         parts = [*keys, "slice"]
     else:
         parts = keys
-    w = Window.partitionBy(*parts).orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("found", F.last("r", ignorenulls=True).over(w))
     if slice_seconds:
+        # What earlier slices end with comes first in a slice, as a row of its own, so the rows are shuffled once.
         ends = both.groupBy(*parts).agg(F.max_by("r", F.when(F.col("r").isNotNull(), F.struct("t", "o"))).alias("last"))
         carry = F.last("last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-        found = found.where("l is not null").join(_named(ends.withColumn("carry", carry), parts, ["carry"]), _same(parts), "left").withColumn("found", F.coalesce("found", "carry"))
+        carried = ends.withColumn("r", carry).where("r is not null").select(*parts, F.lit(float("-inf")).alias("t"), F.lit(-1).alias("side"), empty.alias("l"), "r", empty.alias("o"))
+        both = both.unionByName(carried)
+    w = Window.partitionBy(*parts).orderBy("t", "side", "o").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("found", F.last("r", ignorenulls=True).over(w))
     hit = F.col("found")
     if max_age is not None:
         hit = F.when(F.col("t") - F.col("found.__at") <= max_age, hit)

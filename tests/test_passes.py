@@ -4,7 +4,8 @@ import numpy as np
 
 from hindcast.operators import stats as S
 from hindcast.operators import raw as W
-from hindcast.plans import raw_plans, reasoning_plans
+from hindcast.operators.asof import asof_join
+from hindcast.plans import news_plans, normalization, raw_plans, reasoning_plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,3 +43,20 @@ def test_trades_take_the_latest_mapping_of_their_token(spark):
     found = [(r.positive_price, r.reason) for r in W.trades(rows, tokens, True).orderBy("raw_response_id").collect()]
     assert found == [(0.25, None), (0.75, None), (0.25, None), (None, "unmapped"), (None, "malformed"), (None, "malformed")]
     assert [r.reason for r in W.trades(rows, tokens, False).orderBy("raw_response_id").collect()] == ["malformed"] * 6
+
+
+def test_an_asof_read_carries_earlier_slices_without_a_join(spark):
+    left = spark.createDataFrame([(1, 5.0), (1, 25.0), (1, 95.0), (2, 1.0), (None, 99.0)], "k int, t double")
+    right = spark.createDataFrame([(1, 4.0, "a"), (1, 24.0, "b"), (2, 1.0, "c"), (None, 3.0, "d")], "k int, at double, v string")
+    found = asof_join(left, right, ["k"], "t", "at", ["v"], slice_seconds=10.0)
+    assert "Join" not in planned(found)
+    assert {(r.k, r.t): r.v for r in found.collect()} == {(1, 5.0): "a", (1, 25.0): "b", (1, 95.0): "b", (2, 1.0): None, (None, 99.0): "d"}
+    aged = asof_join(left, right, ["k"], "t", "at", ["v"], slice_seconds=10.0, max_age=50.0)
+    assert {(r.k, r.t): r.v for r in aged.collect()}[(1, 95.0)] is None
+
+
+def test_legs_are_not_shuffled_by_their_ids(spark):
+    for name in ("reconcile_roles", "outcome_sign_asof", "audit_missing_mapping"):
+        assert "hashpartitioning(leg_id" not in planned(getattr(normalization, name)(spark, SF)), name
+    assert "hashpartitioning(leg_id" not in planned(news_plans.outcome_tokens_asof(spark, SF))
+    assert planned(news_plans.wallet_condition_pairs(spark, SF)).count("lineitem.parquet") == 1
