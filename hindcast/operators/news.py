@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +15,8 @@ from hindcast.operators.asof import SLICE, _named, _same, asof_join
 DAY = 86_400.0
 #: The least length of a body worth a model, the least score that makes an article worth it, and the most claims of one.
 BODY_CHARS, QUEUE_SCORE, MAX_CLAIMS = 400, 0.03, 12
+#: Texts whose claims a worker holds at a time.
+TEXTS = 256
 #: Claims that share more words with a question than this share of it, by class.
 RELEVANT = ("direct", "indirect")
 
@@ -96,18 +99,22 @@ def deferred(todo: DataFrame, done: DataFrame, key: str, most: int) -> DataFrame
     return left.join(first, key, "left").withColumn("now", F.coalesce("now", F.lit(False)))
 
 
+def modelled(model: Callable[[str], list[dict]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """article, claim and confidence of what the model finds; a worker holds the claims of TEXTS texts at a time, not of a batch."""
+    for whole in batches:
+        for i in range(0, len(whole), TEXTS):
+            b = whole.iloc[i : i + TEXTS]
+            out = [(a, str(c.get("claim", "")).strip(), float(c.get("confidence", 0.5))) for a, t in zip(b["article"], b["text"].fillna(""), strict=True) for c in model(t)]
+            yield pd.DataFrame(out, columns=["article", "claim", "confidence"])
+
+
 def extract_with(model: Callable[[str], list[dict]], rows: DataFrame, version: str) -> DataFrame:
     """Claims of rows (article, text) by a model, a function from a text to dicts of claim and confidence, in Arrow batches.
 
     Confidences are held to [0, 1]; of equal claims of an article the surest stays, and at most MAX_CLAIMS of each article.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(a, str(c.get("claim", "")).strip(), float(c.get("confidence", 0.5))) for a, t in zip(b["article"], b["text"].fillna(""), strict=True) for c in model(t)]
-            yield pd.DataFrame(out, columns=["article", "claim", "confidence"])
-
-    made = rows.select("article", "text").mapInPandas(run, "article long, claim string, confidence double").where("claim != ''")
+    made = rows.select("article", "text").mapInPandas(partial(modelled, model), "article long, claim string, confidence double").where("claim != ''")
     best = made.groupBy("article", "claim").agg(F.max(X.clamp("confidence", 0.0, 1.0)).alias("confidence"))
     w = Window.partitionBy("article").orderBy(F.desc("confidence"), "claim")
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= MAX_CLAIMS).drop("place").withColumn("extractor_version", F.lit(version))

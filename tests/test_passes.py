@@ -1,10 +1,12 @@
 """What queries shuffle and read again: features of decisions, fits that share passes, as-of reads, raw trades."""
 
 import numpy as np
+import pandas as pd
 
 from hindcast.operators import stats as S
 from hindcast.operators import raw as W
 from hindcast.operators.asof import asof_join
+from hindcast.operators.news import TEXTS, modelled
 from hindcast.plans import decision_plans, news_plans, normalization, raw_plans, reasoning_plans
 
 SF = "/root/testdata/sf0.001"
@@ -65,3 +67,10 @@ def test_legs_are_not_shuffled_by_their_ids(spark):
 def test_states_before_a_moment_are_read_without_pairs(spark):
     plan = planned(decision_plans.market_series_policy(spark, SF))
     assert "slot" not in plan and "Window" in plan
+
+
+def test_a_model_worker_holds_the_claims_of_few_texts():
+    texts = pd.DataFrame({"article": range(1000), "text": ["a. b"] * 999 + [None]})
+    found = list(modelled(lambda t: [{"claim": s, "confidence": 0.5} for s in t.split(".") if s], iter([texts])))
+    assert max(f["article"].nunique() for f in found) <= TEXTS
+    assert pd.concat(found).values.tolist() == [[i, c, 0.5] for i in range(999) for c in ("a", "b")]
