@@ -115,7 +115,7 @@ def family_key(spark, sf_dir):
 
 def claim_edges(spark, sf_dir):
     """Of each claim whether it is the first of its family, repeats a source or confirms from another."""
-    w = Window.partitionBy("family").orderBy("seen_at", "article")
+    w = Window.partitionBy("family").orderBy(F.asc_nulls_last("seen_at"), F.asc_nulls_last("article"))
     rows = A.claims(spark, sf_dir).withColumns({"k": F.row_number().over(w), "first_source": F.first("source").over(w)})
     return rows.select("article", "family", F.when(F.col("k") == 1, "new").when(F.col("source") == F.col("first_source"), "duplicate").otherwise("confirmation").alias("edge"))
 

@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from hindcast.plans import decision_plans, news_plans, stat_plans
 from hindcast.sources import adapters as A
 
 TEXTS = ["éAUX Le ñCI went. Then Paris", "1Foo _Bar -Baz ÉTZ's Ab", "One.\x0bTwo Three. Four", "no names heré", "Ünder ́Abc ١Def", None, ""]
@@ -29,3 +30,25 @@ def test_claims_trim_all_space_separators_and_lower_the_dotted_i(spark, tmp_path
     found = A.claims(spark, str(tmp_path)).select("article", "claim", F.array_sort("words").alias("words"), "family").orderBy("article").collect()
     assert [tuple(r) for r in found] == want
     assert found[0]["claim"] == "Foo bar." and found[3]["words"] == ["ione"]
+
+
+def _odd_world(folder, documents):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, lang VARCHAR, source VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, 'xx', ?, ?)", documents)
+    db.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (1::BIGINT, 'alpha beta gamma. Delta'), (2, 'omega sigma')) t(item_id, text)")
+    for t in ("documents", "benchmark"):
+        db.execute(f"COPY {t} TO '{folder}/{t}.parquet'")
+    return db
+
+
+def _same_as_sql(spark, folder, db, plans, name):
+    found, want = plans.QUERIES[name](spark, str(folder)), db.execute(plans.ORACLE[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, want.fetchall())), name
+
+
+def test_claim_edges_put_missing_ids_last(spark, tmp_path):
+    # Only the times of missing ids are null, so no tie is left open.
+    db = _odd_world(tmp_path, [[None, "s", "Foo alpha"], [5, "s", "Foo beta"], [6, "r", "Foo gamma"]])
+    _same_as_sql(spark, tmp_path, db, stat_plans, "claim_edges")
