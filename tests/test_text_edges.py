@@ -52,3 +52,8 @@ def test_claim_edges_put_missing_ids_last(spark, tmp_path):
     # Only the times of missing ids are null, so no tie is left open.
     db = _odd_world(tmp_path, [[None, "s", "Foo alpha"], [5, "s", "Foo beta"], [6, "r", "Foo gamma"]])
     _same_as_sql(spark, tmp_path, db, stat_plans, "claim_edges")
+
+
+def test_news_known_leaves_missing_sources_out(spark, tmp_path):
+    db = _odd_world(tmp_path, [[1, None, "Foo alpha"], [2, "s", "Bar beta"], [None, None, "Baz gamma"]])
+    _same_as_sql(spark, tmp_path, db, news_plans, "news_known")
