@@ -57,3 +57,9 @@ def test_claim_edges_put_missing_ids_last(spark, tmp_path):
 def test_news_known_leaves_missing_sources_out(spark, tmp_path):
     db = _odd_world(tmp_path, [[1, None, "Foo alpha"], [2, "s", "Bar beta"], [None, None, "Baz gamma"]])
     _same_as_sql(spark, tmp_path, db, news_plans, "news_known")
+
+
+def test_judgments_of_repeated_ids_keep_texts_without_words(spark, tmp_path):
+    db = _odd_world(tmp_path, [[1, "s", "Foo alpha beta"], [1, "s", "..."], [2, "s", "Foo omega"]])
+    for name in ("judgments_in_force", "news_targets", "rescore_news"):
+        _same_as_sql(spark, tmp_path, db, news_plans, name)
