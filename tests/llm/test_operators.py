@@ -565,6 +565,25 @@ def test_every_window_moves_the_weights_and_long_words_keep_their_probability(sp
     assert got[29] < 1.9 * got[6] < -2000
 
 
+def test_kinds_read_every_learning_text_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("binary")
+    def seen(text):
+        read.add(1)
+        return text
+
+    texts = [f"{'alpha beta' if i % 2 else 'uno due tre'} Word{i} ".encode() * 5 for i in range(40)] + [b"", b"abc", b"abcd"]
+    rows = spark.createDataFrame([(bytearray(t), i % 10 == 0) for i, t in enumerate(texts)], "text binary, held_out boolean")
+    found = lm_scoring.found_kinds(rows.withColumn("text", seen("text")))
+    learning = [t for i, t in enumerate(texts) if i % 10]
+    assert read.value == len(learning)
+    by = np.stack([lm_scoring.kinds.of_text(t) for t in learning])
+    assert np.allclose(found.mean, by.mean(axis=0), atol=1e-12)
+    shifted = [np.bincount([(int.from_bytes(t.lower()[a : a + 4], "big") * 2654435761 % 2**32) >> 25 for a in range(len(t) - 3)], minlength=lm_scoring.kinds.BUCKETS) for t in texts]
+    assert all(np.array_equal(lm_scoring.kinds.pieces(t), n) for t, n in zip(texts, shifted, strict=True))
+
+
 def test_no_expert_is_without_weight_however_large_the_logits():
     w = attention.initial(9, 1)
     w["down_bias"] = np.array([500, -500, *[-300] * (attention.EXPERTS - 2)], np.float32)
