@@ -67,6 +67,23 @@ def balances_asof(decisions: DataFrame, events: DataFrame) -> DataFrame:
     return asof_join(pairs, summed, keys, "t", "ts", names, order=["ts"], slice_seconds=LEDGER_SLICE)
 
 
+def balances_at(events: DataFrame, times: tuple[float, ...]) -> DataFrame:
+    """wallet, asset, t, balance, cash, n_events, n_unresolved: balances_asof() where every wallet of events looks at the same few times.
+
+    One aggregate by (wallet, asset), which tasks begin before the exchange, so that an event is shuffled once at most, without
+    its time, and a hot wallet or asset leaves each task as one row. Events from the last time on aren't shuffled.
+    """
+    rows = events.where((F.col("ts") < max(times)) & F.col("wallet").isNotNull()).select("wallet", "asset", "ts", "token_change", "cash_change")
+    sums = []
+    for i, t in enumerate(times):
+        seen = F.col("ts") < t
+        of = lambda c, seen=seen: F.sum(F.when(seen, c))
+        sums += [of(F.col("token_change")).alias(f"b{i}"), of(F.col("cash_change")).alias(f"c{i}"), F.count_if(seen).alias(f"n{i}"), F.count_if(seen & F.col("token_change").isNull()).alias(f"u{i}")]
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), zero(F.col(f"b{i}")).alias("balance"), zero(F.col(f"c{i}")).alias("cash"), F.col(f"n{i}").alias("n_events"), F.col(f"u{i}").alias("n_unresolved")) for i, t in enumerate(times)])).alias("x")
+    return rows.groupBy("wallet", "asset").agg(*sums).select("wallet", "asset", each).select("wallet", "asset", "x.*").where("n_events > 0")
+
+
 def decayed_signals(pairs: DataFrame) -> DataFrame:
     """pairs: decision_id, family, age (seconds), relevance, direction, novelty, confidence. For each half-life the signed,
     positive and negative sums over families of each family's largest contribution of either sign."""

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 
+from hindcast.operators import decisions as D
 from hindcast.operators import stats as S
 from hindcast.operators import raw as W
 from hindcast.operators.asof import asof_join
@@ -64,6 +65,18 @@ def test_legs_are_not_shuffled_by_their_ids(spark):
     assert planned(news_plans.wallet_condition_pairs(spark, SF)).count("lineitem.parquet") == 1
 
 
+def test_positions_at_fixed_times_read_legs_once(spark):
+    plan = planned(decision_plans.position_asof(spark, SF))
+    assert plan.count("lineitem.parquet") == 1 and "Window" not in plan and "hashpartitioning(record_id" not in plan
+    events = [(w, a, float(t), None if (t + a) % 5 == 0 else float(a), None if t % 3 == 0 else -1.5 * t) for w in ("v", "w") for a in (1, 2, 3) for t in range(a, 30, 2 + a)]
+    rows = spark.createDataFrame([*events, events[0], ("v", None, 4.0, 1.0, 1.0), (None, 1, 4.0, 1.0, 1.0), ("v", 1, None, 9.0, 9.0), ("x", 1, 40.0, 1.0, 1.0)], "wallet string, asset int, ts double, token_change double, cash_change double")
+    looks = spark.createDataFrame([(f"{w}{t}", w, t) for w in "vwx" for t in (9.0, 20.0)], "decision_id string, wallet string, t double")
+    want = D.balances_asof(looks, rows.where("ts is not null"))
+    columns = ["wallet", "asset", "t", "balance", "cash", "n_events", "n_unresolved"]
+    found = {tuple(r) for r in D.balances_at(rows, (9.0, 20.0)).select(columns).collect()}
+    assert found == {tuple(r) for r in want.select(columns).collect()} and len(found) == 14
+
+
 def test_states_before_a_moment_are_read_without_pairs(spark):
     plan = planned(decision_plans.market_series_policy(spark, SF))
     assert "slot" not in plan and "Window" in plan
