@@ -19,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hindcast.functions import exprs as X
+from hindcast.operators.asof import SLICE
 from hindcast.operators.decisions import HALF_LIVES, MAX_AGE
 from hindcast.operators.lineage import stored
-from hindcast.operators.surfaces import Probe, Surface, exact, read_surfaces, span
+from hindcast.operators.surfaces import Probe, Surface, dense_slice, exact, read_surfaces, span
 
 DAY, HOUR, SLOT = 86_400.0, 3600.0, 21_600.0
 _DECAYS = [f"news_decay_{kind}_{k}" for k in HALF_LIVES for kind in ("signed", "positive", "negative")]
@@ -91,7 +92,7 @@ def _deltas(rows: DataFrame, start: str, end: Column, values: dict[str, Column],
     return rows.select(*keep, F.col(start).alias("__at"), *begun).union(rows.select(*keep, end.alias("__at"), *ended))
 
 
-def decayed(decisions: DataFrame, versions: DataFrame) -> DataFrame:
+def decayed(decisions: DataFrame, versions: DataFrame, slice_seconds: float = SLICE) -> DataFrame:
     """decision_id with the decayed signals and families, how many of them stand and are no older than MAX_AGE.
 
     A contribution c of time s is worth c * 2^(-(t - s) / h) at t, so sums of c * 2^((s - o) / h) serve all t. The origin o is
@@ -102,7 +103,7 @@ def decayed(decisions: DataFrame, versions: DataFrame) -> DataFrame:
     scaled = {f"{x}_{k}": F.col(x) * F.pow(F.lit(2.0), (F.col("at") - F.col("band") * MAX_AGE) / h) for x in ("positive", "negative") for k, h in HALF_LIVES.items()}
     moves = _deltas(rows.withColumns(scaled | {"families": F.lit(1)}), "at", F.col("end"), {n: F.col(n) for n in [*scaled, "families"]}, ["condition", "band"])
     looks = decisions.select("decision_id", "condition", "t", F.explode(F.array(band(F.col("t")), band(F.col("t")) - 1)).alias("band"))
-    read = read_surfaces(looks, ["condition", "band"], ["decision_id", "band"], [Probe("now", F.col("t"))], [Surface("s", moves, "__at", sums={n: F.col(n) for n in [*scaled, "families"]})])
+    read = read_surfaces(looks, ["condition", "band"], ["decision_id", "band"], [Probe("now", F.col("t"))], [Surface("s", moves, "__at", sums={n: F.col(n) for n in [*scaled, "families"]})], slice_seconds)
     fall = {k: F.pow(F.lit(2.0), -(F.col("t") - F.col("band") * MAX_AGE) / h) for k, h in HALF_LIVES.items()}
     clean = lambda c: F.greatest(c, F.lit(0.0))
     sums = [F.sum(clean(F.col(f"s_now.{x}_{k}")) * fall[k]).alias(f"{x}_{k}") for x in ("positive", "negative") for k in HALF_LIVES]
@@ -154,7 +155,8 @@ def strongest(decisions: DataFrame, versions: DataFrame, lookback: float = DAY,
 def contexts(decisions: DataFrame, tables: Tables) -> DataFrame:
     """decisions (decision_id, wallet, condition, t) with what each may know, as structs <surface>_<probe>; for inspection,
     checks and features. A pass reads its left side twice, so each one's result is stored, and so are the tables that are more than
-    a scan."""
+    a scan. Only the decisions themselves go through a pass, not what others have found, which is joined by decision_id at the end. Busy
+    conditions are read in shorter slices."""
     c, one = F.col, F.lit(1)
     decisions = stored(decisions, "decisions")
     tables = replace(tables, **{n: stored(getattr(tables, n), n) for n in ("judgments", "claims", "modes", "screens", "closes")})
@@ -171,31 +173,40 @@ def contexts(decisions: DataFrame, tables: Tables) -> DataFrame:
     screens = read_surfaces(tables.screens.where("status = 'screened'"), ["condition"], [], [Probe("then", c("ts"), strict=False)], [Surface("pre", seen, "b", last=("close",))])
     latest = F.when(c("transition") == 1, F.struct("ts", c("pre_then.last.__at").alias("pre_at"), c("pre_then.last.close").alias("pre")))
     surfaces = [
-        Surface("contract", tables.contracts, "effective_from", last=("effective_from", "resolution_time")),
-        Surface("status", tables.statuses, "effective_from", last=("blocking",), order=("blocking",)),
-        *[Surface(n, tables.books.where(c("token") == k), "ts", last=("spread", "depth", "imbalance"), order=("event_id",)) for n, k in (("yes", 1), ("no", -1))],
-        Surface("book", tables.books.where("mid is not null"), "ts", last=("mid",), ahead=("mid",), order=("event_id",), sums=priced(c("mid"))),
-        Surface("trade", tables.executions, "ts", last=("price",), ahead=("price",), order=("event_id",), sums=priced(c("price")) | {"size": exact(c("size")), "rows": one}),
-        Surface("mode", tables.modes, "end", last=("label",)),
-        Surface("screen", screens, "available_at", sums={"evaluated": one, "impactful": F.when(c("transition") == 1, one).otherwise(F.lit(0))}, highest={"latest": latest, "score": c("transition").cast("double")}),
-        Surface("close", seen, "b", last=("close",)),
-        Surface("recent", recent, "__at", sums={n: c(n) for n in standing}),
-        Surface("own", mine, "__at", sums={"n": c("n")}),
+        Surface("contract", tables.contracts, "effective_from", last=("effective_from", "resolution_time"), probes=("now",)),
+        Surface("status", tables.statuses, "effective_from", last=("blocking",), order=("blocking",), probes=("now",)),
+        *[Surface(n, tables.books, "ts", last=("spread", "depth", "imbalance"), order=("event_id",), where=c("token") == k, probes=("now",)) for n, k in (("yes", 1), ("no", -1))],
+        Surface("book", tables.books, "ts", last=("mid",), ahead=("mid",), order=("event_id",), sums=priced(c("mid")), where=c("mid").isNotNull(), probes=("now", "hour", "day")),
+        Surface("trade", tables.executions, "ts", last=("price",), ahead=("price",), order=("event_id",), sums=priced(c("price")) | {"size": exact(c("size")), "rows": one}, probes=("now", "hour", "day")),
+        Surface("mode", tables.modes, "end", last=("label",), probes=("with",)),
+        Surface("screen", screens, "available_at", sums={"evaluated": one, "impactful": F.when(c("transition") == 1, one).otherwise(F.lit(0))}, highest={"latest": latest, "score": c("transition").cast("double")}, probes=("now",)),
+        Surface("close", seen, "b", last=("close",), probes=("with",)),
+        Surface("recent", recent, "__at", sums={n: c(n) for n in standing}, probes=("now",)),
+        Surface("own", mine, "__at", sums={"n": c("n")}, probes=("with",)),
     ]
-    rows = stored(read_surfaces(decisions, ["condition"], ["decision_id"], probes, surfaces), "contexts")
+    width = dense_slice(tables.books, ["condition"], "ts", HOUR)
+    rows = stored(read_surfaces(decisions, ["condition"], ["decision_id"], probes, surfaces, width), "contexts")
+    looks = rows.select(*decisions.columns)
     change = X.proposition_change("size", "side", "sign")
     mapped = c("sign").isNotNull()
     legs = Surface("leg", tables.legs, "ts", last=("ts",), order=("leg_id",), sums={"n": one, "size": exact(c("size")), "net": exact(F.when(mapped, change)), "directed": F.when(mapped, one).otherwise(F.lit(0)), "positive": F.when(mapped & (change > 0), one).otherwise(F.lit(0))})
-    rows = stored(read_surfaces(rows, ["wallet"], ["decision_id"], [Probe("now", c("t")), Probe("day", c("t") - DAY)], [legs]), "contexts")
+    actor = stored(read_surfaces(looks, ["wallet"], ["decision_id"], [Probe("now", c("t")), Probe("day", c("t") - DAY)], [legs]), "contexts")
     tokens = F.when(c("side") == "BUY", exact(c("size"))).when(c("side") == "SELL", -exact(c("size")))
     known = lambda k: F.when(mapped & (c("token") == k), one).otherwise(F.lit(0))
     held = Surface("held", tables.legs, "ts", sums={"n": one, "unresolved": (~c("resolved")).cast("int"), "yes": F.when(c("resolved") & (c("token") == 1), tokens), "no": F.when(c("resolved") & (c("token") == -1), tokens), "knows_yes": known(1), "knows_no": known(-1)})
-    rows = stored(read_surfaces(rows, ["wallet", "condition"], ["decision_id"], [Probe("now", c("t"))], [held]), "contexts")
-    return _news_context(rows, decisions, tables, versions, families)
-
-
-def _news_context(rows: DataFrame, decisions: DataFrame, tables: Tables, versions: DataFrame, families: DataFrame) -> DataFrame:
-    """rows with what all conditions have in common, and the decayed and strongest judgments."""
+    place = stored(read_surfaces(looks, ["wallet", "condition"], ["decision_id"], [Probe("now", c("t"))], [held]), "contexts")
+    everywhere = stored(_common(looks, tables, families), "contexts")
+    news = decayed(decisions, versions, width)
+    top = strongest(decisions, versions).withColumnsRenamed({"novelty": "novelty_max", "surprise": "surprise_max"})
+    top = top.withColumn("decision_id", c("d").cast(decisions.schema["decision_id"].dataType)).drop("d")
+    for found in (actor, place, everywhere, news, top):
+        found = found.drop(*[n for n in decisions.columns if n != "decision_id"]).withColumnRenamed("decision_id", "__d")
+        rows = rows.join(found, c("decision_id").eqNullSafe(c("__d")), "left").drop("__d")
+    return rows
+
+
+def _common(looks: DataFrame, tables: Tables, families: DataFrame) -> DataFrame:
+    """looks with what all conditions have in common."""
     c, one = F.col, F.lit(1)
     everywhere = lambda df: df.withColumn("__all", F.lit(0))
     by_source = _with_next(tables.articles.select("source", c("seen_at").cast("double").alias("seen_at")).distinct(), ["source"], "seen_at")
@@ -206,16 +217,14 @@ def _news_context(rows: DataFrame, decisions: DataFrame, tables: Tables, version
     before = c("was_own.last.label")
     modes = modes.select("end", (event - F.coalesce((before == "event").cast("int"), F.lit(0))).alias("event"), before.isNull().cast("int").alias("known"))
     surfaces = [
-        Surface("article", everywhere(tables.articles), "seen_at", sums={"n": one, "lags": F.when(lag.isNotNull(), one).otherwise(F.lit(0)), "lag": exact(lag)}),
-        Surface("source", everywhere(sources), "__at", sums={"n": c("n")}),
-        Surface("claim", everywhere(tables.claims), "seen_at", sums={"n": one}),
-        Surface("family", everywhere(families), "e", sums={"n": one}),
-        Surface("modes", everywhere(modes), "end", sums={"event": c("event"), "known": c("known")}),
+        Surface("article", everywhere(tables.articles), "seen_at", sums={"n": one, "lags": F.when(lag.isNotNull(), one).otherwise(F.lit(0)), "lag": exact(lag)}, probes=("now", "day")),
+        Surface("source", everywhere(sources), "__at", sums={"n": c("n")}, probes=("now",)),
+        Surface("claim", everywhere(tables.claims), "seen_at", sums={"n": one}, probes=("with", "daywith")),
+        Surface("family", everywhere(families), "e", sums={"n": one}, probes=("with", "daywith")),
+        Surface("modes", everywhere(modes), "end", sums={"event": c("event"), "known": c("known")}, probes=("with",)),
     ]
     probes = [Probe("now", c("t")), Probe("with", c("t"), strict=False), Probe("day", c("t") - DAY), Probe("daywith", c("t") - DAY, strict=False)]
-    rows = read_surfaces(everywhere(rows), ["__all"], ["decision_id"], probes, surfaces, slice_seconds=HOUR).drop("__all")
-    rows = rows.join(decayed(decisions, versions).withColumnRenamed("decision_id", "__d"), c("decision_id") == c("__d"), "left").drop("__d")
-    return rows.join(strongest(decisions, versions).withColumnsRenamed({"novelty": "novelty_max", "surprise": "surprise_max"}), c("decision_id").cast("string") == c("d"), "left").drop("d")
+    return read_surfaces(everywhere(looks), ["__all"], ["decision_id"], probes, surfaces, slice_seconds=HOUR).drop("__all")
 
 
 def future_information(rows: DataFrame) -> Column:

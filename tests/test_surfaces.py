@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from hindcast.operators import censor
+from hindcast.operators import censor, features
 from hindcast.operators import outcomes as O
-from hindcast.operators.surfaces import Probe, Surface, exact, read_surfaces, span
+from hindcast.operators.asof import SLICE
+from hindcast.operators.surfaces import Probe, Surface, dense_slice, exact, read_surfaces, span
 
 KEYS = ["a", "b", None]
 
@@ -128,3 +130,53 @@ def test_responses_and_outcomes_equal_plain_loops(spark):
     made = O.outcomes(spark.createDataFrame(decisions, "id long, condition string, t double, direction int"), close, *frames, ["id"], bar, (bar, drift))
     assert sorted(tuple(x) for x in made.select("id", "horizon", "status", "drift", "same_direction").collect()) == want
     assert {w[2] for w in want} == {"no_base_close", "censored", "stale_endpoint", "observed"}
+
+
+TABLES = {
+    "contracts": "condition string, effective_from double, resolution_time double", "statuses": "condition string, effective_from double, blocking boolean",
+    "books": "condition string, ts double, event_id long, token int, mid double, spread double, depth double, imbalance double", "executions": "condition string, ts double, event_id long, size double, price double",
+    "legs": "wallet long, condition string, ts double, leg_id long, side string, size double, sign int, token int, resolved boolean",
+    "judgments": "condition string, family string, at double, article long, rel_score double, rel_class string, direction int, novelty double, surprise double, confidence double",
+    "articles": "article long, seen_at double, published_at double, source string", "claims": "article long, seen_at double, family string", "modes": "condition string, end double, label string",
+    "screens": "condition string, ts double, available_at double, status string, transition int", "closes": "condition string, bar_end double, close double",
+}
+
+
+def test_only_decisions_go_through_the_passes_of_contexts(spark, monkeypatch):
+    """What one pass has found isn't carried, once for each probe, through the next one's exchange and sort."""
+    seen, read = [], features.read_surfaces
+
+    def watched(left, by, ident, probes, surfaces, *args, **more):
+        if "decision_id" in ident:
+            seen.append(set(left.columns))
+            assert len({id(s.rows) for s in surfaces if s.name in ("yes", "no", "book")}) <= 1
+        return read(left, by, ident, probes, surfaces, *args, **more)
+
+    monkeypatch.setattr(features, "read_surfaces", watched)
+    monkeypatch.setattr(features, "stored", lambda df, name="": df)
+    tables = features.Tables(**{n: spark.createDataFrame([], s) for n, s in TABLES.items()})
+    own = {"decision_id", "wallet", "condition", "t"}
+    made = features.contexts(spark.createDataFrame([(1, 2, "a", 3.0)], "decision_id long, wallet long, condition string, t double"), tables)
+    assert len(seen) == 5 and all(s <= own | {"__all", "band"} for s in seen)
+    assert own < set(made.columns) and len(made.columns) == len(set(made.columns))
+
+
+def test_surfaces_of_the_same_rows_share_them(spark):
+    r = random.Random(7)
+    rows = spark.createDataFrame([("ab"[r.randrange(2)], float(r.randrange(40)), i, r.randrange(3), r.choice([None, i % 5])) for i in range(120)], "k string, ts double, i int, kind int, v int")
+    looks = spark.createDataFrame([("ab"[i % 2], float(i), i) for i in range(45)], "k string, t double, id int")
+    probes = [Probe("now", F.col("t")), Probe("low", F.col("t") - 9.0)]
+    kinds = {"x": F.col("kind") == 0, "y": F.col("kind") == 1, "z": F.col("v").isNotNull()}
+    make = lambda n, df, **more: Surface(n, df, "ts", last=("i", "v"), ahead=("i",), order=("i",), sums={"n": F.lit(1), "v": F.col("v")}, highest={"h": F.col("v")}, **more)
+    apart = read_surfaces(looks, ["k"], ["id"], probes, [make(n, rows.where(w)) for n, w in kinds.items()], slice_seconds=7.0)
+    shared = read_surfaces(looks, ["k"], ["id"], probes, [make(n, rows, where=w) for n, w in kinds.items()], slice_seconds=7.0)
+    assert shared.columns == apart.columns and sorted(map(str, shared.collect())) == sorted(map(str, apart.collect()))
+    some = read_surfaces(looks, ["k"], ["id"], probes, [make(n, rows, where=w, probes=("low",) if n == "y" else ()) for n, w in kinds.items()], slice_seconds=7.0)
+    assert some.columns == [c for c in apart.columns if c != "y_now"] and sorted(map(str, some.collect())) == sorted(map(str, apart.drop("y_now").collect()))
+
+
+def test_busy_keys_have_shorter_slices(spark):
+    rows = spark.createDataFrame([("a", float(i)) for i in range(100)] + [("b", float(1000 * i)) for i in range(100)] + [("c", None), ("d", 1.0)], "k string, t double")
+    assert dense_slice(rows, ["k"], "t", 5.0, target=20) == pytest.approx(19.8)
+    assert dense_slice(rows, ["k"], "t", 50.0, target=20) == 50.0
+    assert dense_slice(rows.where("k = 'd'"), ["k"], "t", 5.0) == SLICE
