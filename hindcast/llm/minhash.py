@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from hindcast.llm.common import bounded, checkpointed, row_key, scratch, small_batches, spread_join, text_of
+from hindcast.llm.common import bounded, checkpointed, counted_broadcasts, row_key, scratch, small_batches, spread_join, text_of
 from hindcast.llm.simhash import components
 
 SHINGLE, SEED, PERCENT = 5, 42, 85
@@ -282,6 +282,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for component_id, which is null if there is no other; repeated rows are rows of one component; an
     empty table gives an empty one; other columns are not read.
     """
+    with counted_broadcasts(docs.sparkSession):
+        rows, where, total = placed_sets(docs)
+    # This join is planned later, with the session's settings, so a hint keeps Spark from broadcasting by its estimate.
+    some = spread_join(rows.where("n_shingles > 0").select("doc_id", "n_shingles", "set"), where.hint("merge"), "set", "w_set", "n", total).select("doc_id", "n_shingles", "component_id")
+    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def placed_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """sketches() of docs; w_set, component_id and n, its rows, of each distinct set; and how many rows have a set. All of it is materialised."""
     rows = _stored(sketches(docs), "sketches")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     first = lambda c: F.first(c).alias(c)
@@ -292,6 +302,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes, total = placed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")).withColumnRenamed("root", "b_root")
     where = checkpointed(spread_join(placed, best, "root", "b_root", "sets", classes).select(F.col("set").alias("w_set"), "component_id", "n"))
-    some = spread_join(rows.where("n_shingles > 0").select("doc_id", "n_shingles", "set"), where, "set", "w_set", "n", total).select("doc_id", "n_shingles", "component_id")
-    none = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.union(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, where, total

@@ -214,6 +214,25 @@ def test_minhash_equals_brute_force(spark, monkeypatch, limits):
     assert rows(minhash.near_duplicates(H.docs(spark, made))) == plain_copies(made)
 
 
+def test_minhash_broadcasts_by_counts_only(spark, monkeypatch):
+    """Spark's estimate of exploded bands is less than a byte a row, so at some sizes it would send them all through the driver."""
+    plans, write = [], minhash._stored
+
+    def stored(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(minhash, "_stored", stored)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    text = " ".join(f"w{i}" for i in range(40))
+    found = minhash.near_duplicates(H.docs(spark, [(i, text + f" x{i % 3}") for i in range(12)] + [(20, "a b c d e f")]))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert any("SortMergeJoin" in p for p in plans) and all("__hot" in j or "w_id" in j for j in joins), joins
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(i, 0) for i in range(12)} | {(20, 20)}
+
+
 def test_minhash_of_nothing(spark):
     docs = H.docs(spark, [(1, None), (2, "a b c d e f")])
     assert rows(minhash.near_duplicates(docs.limit(0))) == []
